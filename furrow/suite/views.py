@@ -99,14 +99,33 @@ SELECT event_type AS commodity, CAST(ts AS DATE) AS date, event_id,
               CAST(CAST(ts AS DATE) AS STRING), ' ', CAST(event_id % 50 AS STRING), '.5 -1.25 3', chr(10),
               '2024/1/5 10 11.5 12', chr(10), '3. 종합 의견', chr(10), '리스크와 하방 압력이 크다.') AS report_text
 FROM {events}""",
+    "messages": """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'tool' ELSE role END AS role,
+       CASE WHEN turn % 3 <> 2 THEN NULL WHEN conv_id % 3 = 0 THEN 'timeseries_predictor'
+            WHEN conv_id % 3 = 1 THEN 'decision_meta' ELSE 'news_sentiment_analyzer' END AS name,
+       CASE WHEN turn % 3 = 2 AND conv_id % 7 = 3 THEN '{broken'
+            WHEN turn % 3 = 2 AND (conv_id + turn) % 5 = 0 THEN '{"error": "none"}'
+            WHEN turn % 3 = 2 THEN concat('{"target_date": "2024-01-05", "forecast_value": ', CAST(turn AS STRING),
+                                          ', "stage": "v', CAST(1 + conv_id % 2 AS STRING), '"}')
+            WHEN turn % 2 = 1 THEN concat('[{', chr(39), 'type', chr(39), ': ', chr(39), 'text', chr(39), ', ',
+                 chr(39), 'text', chr(39), ': ', chr(39),
+                 replace(replace(replace(text, chr(92), ' '), chr(39), ' '), chr(10), ' '), chr(39), '}, {',
+                 chr(39), 'type', chr(39), ': ', chr(39), 'text', chr(39), ', ',
+                 chr(39), 'text', chr(39), ': ', chr(39), role, chr(39), '}]')
+            ELSE text END AS text,
+       CASE WHEN turn % 3 <> 2 AND turn % 2 = 1
+            THEN concat(replace(replace(replace(text, chr(92), ' '), chr(39), ' '), chr(10), ' '), chr(10), role)
+            ELSE text END AS said
+FROM {conversations}""",
     "forecasts": """
-SELECT p.commodity, p.date AS target_date, p.close AS actual_price,
-       p.close * (1 + CAST(p.volume % 7 - 3 AS DOUBLE) / 100) AS forecast_price,
+SELECT p.commodity, p.date AS target_date, p.price AS actual_price,
+       p.price * (1 + CAST(p.volume % 7 - 3 AS DOUBLE) / 100) AS forecast_price,
        p.low AS yhat_lower, p.high AS yhat_upper,
        CASE WHEN p.volume % 2 = 0 THEN 1 ELSE 0 END AS direction,
-       p.open - p.close AS trend, (p.high - p.low) / 2 AS yearly, CAST(p.volume % 5 - 2 AS DOUBLE) AS weekly,
-       p.open * 0.001 AS extra_regressors_multiplicative, p.low * 0.002 AS volume_effect, p.high * -0.003 AS ema_effect
-FROM {px_daily} p""",
+       p.price - 48 AS trend, (p.high - p.low) / 5 AS yearly, CAST(p.volume % 5 - 2 AS DOUBLE) AS weekly,
+       p.price * 0.001 AS extra_regressors_multiplicative, p.low * 0.002 AS volume_effect, p.high * -0.003 AS ema_effect
+FROM (SELECT event_type AS commodity, CAST(ts AS DATE) AS date, round(avg(value), 2) AS price, max(value) AS high,
+             min(value) AS low, count(*) AS volume FROM {events} GROUP BY event_type, CAST(ts AS DATE)) p""",
     "ratios": """
 SELECT CAST(n.publish_ts AS DATE) AS date, n.commodity AS keyword, n.meta_site_name AS source,
        count(*) AS news_count,
