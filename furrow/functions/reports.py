@@ -99,7 +99,7 @@ def opinion(text: Column) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
 
 
 def with_summary_row(df: DataFrame, text: str, out: str = "summary") -> DataFrame:
@@ -108,7 +108,7 @@ def with_summary_row(df: DataFrame, text: str, out: str = "summary") -> DataFram
     def is_header(x: Column) -> Column:
         return x.contains("어제") & x.contains(MARKET_MOOD) & x.contains(OPINION) & contains_any(x, ["머신러닝", "퀀트"])
 
-    lines = F.filter(F.transform(lines_of(F.col(text)), F.rtrim), lambda x: F.trim(x) != "")
+    lines = F.filter(F.transform(lines_of(F.col(text)), lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")
     head, piped = F.col("_head"), F.col("_head").contains("|")
     words = lambda x: F.split(x, r"\s+")
 
@@ -235,7 +235,7 @@ def without_meta_line(text: Column) -> Column:
 
 def compressed(text: Column, length: int = 300) -> Column:
     """Headings and lines holding a number or a key word, of which the last `length` characters."""
-    trimmed = F.filter(F.transform(lines_of(text), F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x != "")
     kept = F.filter(trimmed, lambda x: x.startswith("#") | x.endswith(":") | x.rlike(r"\p{Nd}|" + "|".join(KEPT_WORDS)))
     return F.right(F.array_join(kept, "\n"), F.lit(length))
 
@@ -257,7 +257,7 @@ def _is_header(line: Column) -> Column:
 
 
 def header_lines(text: Column) -> Column:
-    return F.transform(F.filter(lines_of(text), _is_header), F.trim)
+    return F.transform(F.filter(lines_of(text), _is_header), lambda x: F.trim(x))
 
 
 def header_line(text: Column, key: str) -> Column:

@@ -75,7 +75,9 @@ SELECT event_id, ts AS ingested_at, CAST(ts AS DATE) AS target_date, event_type
        (100 - CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE)) * (3 - event_id % 3) / 400 AS p_sell
 FROM {events}""",
     "triples": """
-SELECT cn.n_name AS s, o.o_orderpriority AS v, sn.n_name AS o,
+SELECT replace(cn.n_name, '_', '-') AS s,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'is' WHEN '2-HIGH' THEN 'prices rise' WHEN '3-MEDIUM' THEN 'Is part of'
+                              WHEN '4-NOT SPECIFIED' THEN 'was reduced by' ELSE 'exports to' END AS v, replace(sn.n_name, '_', '-') AS o,
        l.l_orderkey * 10 + l.l_linenumber AS pos
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} cn ON c.c_nationkey = cn.n_nationkey
@@ -99,19 +101,24 @@ SELECT event_type AS commodity, CAST(ts AS DATE) AS date, event_id,
               CAST(CAST(ts AS DATE) AS STRING), ' ', CAST(event_id % 50 AS STRING), '.5 -1.25 3', chr(10),
               '2024/1/5 10 11.5 12', chr(10), '3. 종합 의견', chr(10), '리스크와 하방 압력이 크다.') AS report_text
 FROM {events}""",
+    "names": """
+SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_size AS STRING) || '.5-1' WHEN 2 THEN '--'
+       WHEN 3 THEN 'H5N' || CAST(p_size AS STRING) WHEN 4 THEN 'January' WHEN 5 THEN ' ' || p_type || 's '
+       WHEN 6 THEN 'USDA' WHEN 7 THEN concat('farmer', chr(39), 's ', p_brand) ELSE concat('"', p_type, '" ', chr(92), chr(39)) END AS entity
+FROM {part}""",
     "messages": """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'tool' ELSE role END AS role,
        CASE WHEN turn % 3 <> 2 THEN NULL WHEN conv_id % 3 = 0 THEN 'timeseries_predictor'
             WHEN conv_id % 3 = 1 THEN 'decision_meta' ELSE 'news_sentiment_analyzer' END AS name,
-       CASE WHEN turn % 3 = 2 AND conv_id % 7 = 3 THEN '{broken'
-            WHEN turn % 3 = 2 AND (conv_id + turn) % 5 = 0 THEN '{"error": "none"}'
-            WHEN turn % 3 = 2 THEN concat('{"target_date": "2024-01-05", "forecast_value": ', CAST(turn AS STRING),
-                                          ', "stage": "v', CAST(1 + conv_id % 2 AS STRING), '"}')
-            WHEN turn % 2 = 1 THEN concat('[{', chr(39), 'type', chr(39), ': ', chr(39), 'text', chr(39), ', ',
+       CASE WHEN turn % 3 = 2 AND conv_id % 7 = 3 THEN concat(chr(123), 'broken')
+            WHEN turn % 3 = 2 AND (conv_id + turn) % 5 = 0 THEN concat(chr(123), '"error": "none"', chr(125))
+            WHEN turn % 3 = 2 THEN concat(chr(123), '"target_date": "2024-01-05", "forecast_value": ', CAST(turn AS STRING),
+                                          ', "stage": "v', CAST(1 + conv_id % 2 AS STRING), '"', chr(125))
+            WHEN turn % 2 = 1 THEN concat('[', chr(123), chr(39), 'type', chr(39), ': ', chr(39), 'text', chr(39), ', ',
                  chr(39), 'text', chr(39), ': ', chr(39),
-                 replace(replace(replace(text, chr(92), ' '), chr(39), ' '), chr(10), ' '), chr(39), '}, {',
+                 replace(replace(replace(text, chr(92), ' '), chr(39), ' '), chr(10), ' '), chr(39), chr(125), ', ', chr(123),
                  chr(39), 'type', chr(39), ': ', chr(39), 'text', chr(39), ', ',
-                 chr(39), 'text', chr(39), ': ', chr(39), role, chr(39), '}]')
+                 chr(39), 'text', chr(39), ': ', chr(39), role, chr(39), chr(125), ']')
             ELSE text END AS text,
        CASE WHEN turn % 3 <> 2 AND turn % 2 = 1
             THEN concat(replace(replace(replace(text, chr(92), ' '), chr(39), ' '), chr(10), ' '), chr(10), role)
