@@ -53,9 +53,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     """Weighted PageRank per graph (`keys` name the graph; none for a single one): (keys, id, rank).
 
     Mass of nodes without outgoing weight is spread evenly and isolated nodes take part. That spread only scales the
-    fixed point, so the rounds leave it out and the ranks are brought to sum one at the end. The edges are placed by
-    source once and stay there; a hub's edges are split over several join keys, its rank being copied to each, so
-    that no task holds them all. Rounds are chained and then written out; the change of the last one decides.
+    fixed point, so the rounds leave it out; the scale is set right between rounds and to one at the end. The edges
+    are placed by source once and stay there; a hub's edges are split over several join keys, its rank being copied
+    to each, so that no task holds them all. Rounds are chained, written out, and the last one's change decides.
     """
     if not keys:  # a single graph is a graph with a constant name
         name = F.lit(0).alias("_graph")
@@ -64,13 +64,16 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
         return whole.drop("_graph")
     keys = list(keys)
     joined = [*keys, "id"]
+    # Scalars of a single graph are one row; those of many graphs join as Spark sees fit.
+    small = F.broadcast if keys == ["_graph"] else (lambda df: df)
+    edges = cut_lineage(edges.select(*keys, "src", "dst", "weight"))
     nodes = (nodes_of(edges, keys) if nodes is None else nodes.select(*joined)).distinct()
     heavy = edges.where(F.col("weight") > 0).select(*keys, F.col("src").alias("id"), "dst", "weight")
     out = heavy.groupBy(*joined).agg(F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("_degree"))
     graphs = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    base = nodes.join(graphs, keys).join(out, joined, "left").select(
+    base = nodes.join(small(graphs), keys).join(out, joined, "left").select(
         *joined, "out_weight", ((1 - alpha) / F.col("n")).alias("teleport"),
-        F.ceil(F.coalesce(F.col("_degree"), F.lit(1)) / hub_edges).cast("int").alias("parts"))
+        F.coalesce(F.ceil(F.col("_degree") / hub_edges), F.lit(0)).cast("int").alias("parts"))  # none: nothing goes out
     base = cut_lineage(base)
     moves = heavy.join(base.select(*joined, "parts", "out_weight"), joined).select(
         *joined, F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst",
@@ -79,7 +82,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     moves = cut_lineage(moves.repartition(width, *joined, "part"))
 
     def step(state: DataFrame) -> DataFrame:
-        copies = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        copies = state.where("parts > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         given = moves.join(copies.select(*joined, "part", "rank"), [*joined, "part"])
         flow = given.select(*keys, F.col("dst").alias("id"), F.lit(None).cast("int").alias("parts"), F.lit(None).cast("double").alias("teleport"),
                             (F.col("rank") * F.col("share")).alias("inflow"), F.lit(None).cast("double").alias("kept"))
@@ -89,18 +92,24 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
             F.max("parts").alias("parts"), F.max("teleport").alias("teleport"), F.max("kept").alias("previous"),
             (F.max("teleport") + F.sum("inflow")).alias("rank"))
 
-    state, done = base.select(*joined, "parts", "teleport", F.col("teleport").alias("rank")), 0
+    state, done = base.select(*joined, "parts", "teleport", (F.col("teleport") / (1 - alpha)).alias("rank")), 0
     while done < max_rounds:
         for _ in range(min(rounds_per_check, max_rounds - done)):
             state = step(state)
             done += 1
         state = cut_lineage(state)
-        moved = F.sum(F.abs(F.col("rank") - F.col("previous"))) / F.sum("rank") / F.count(F.lit(1))
-        worst = state.groupBy(*keys).agg(moved.alias("d")).agg(F.max("d")).first()[0]
+        mass, loose = F.sum("rank"), F.sum(F.when(F.col("parts") == 0, F.col("rank")).otherwise(0.0))
+        moved = F.sum(F.abs(F.col("rank") - F.col("previous"))) / mass / F.count(F.lit(1))
+        # Scale at which the kept mass balances the mass each round adds.
+        scale = (1 - alpha) / (mass - alpha * (mass - loose))
+        per_graph = state.groupBy(*keys).agg(moved.alias("moved"), loose.alias("loose"), scale.alias("scale"))
+        worst, most_loose = per_graph.agg(F.max("moved"), F.max("loose")).first()
         if worst is None or worst < tol:
             break
+        if most_loose > 0:
+            state = state.join(small(per_graph.select(*keys, "scale")), keys).withColumn("rank", F.col("rank") * F.col("scale")).drop("scale")
     total = state.groupBy(*keys).agg(F.sum("rank").alias("_total"))
-    return state.join(total, keys).select(*joined, (F.col("rank") / F.col("_total")).alias("rank"))
+    return state.join(small(total), keys).select(*joined, (F.col("rank") / F.col("_total")).alias("rank"))
 
 
 def verb_contribution(edges: DataFrame, ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -142,38 +151,36 @@ def triple_keywords(touching: DataFrame, text: str = "triple_text") -> DataFrame
 # --- normalisation of triples ----------------------------------------------------------------------------------------
 
 
-def normalised_triples(triples: DataFrame) -> DataFrame:
-    """Valid triples with normalised ends; the raw ends stay beside them as raw_s and raw_o."""
+def normalised_triples(triples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Valid triples with normalised ends; the raw ends stay beside them as raw_s and raw_o. `keys` name the set of
+    triples within which plurals are merged."""
     s, o = F.col("s"), F.col("o")
     valid = triples.where(TX.is_valid_entity(s) & TX.is_valid_entity(o))
     named = valid.withColumns({"raw_s": s, "raw_o": o, "s": TX.graph_entity(s), "o": TX.graph_entity(o)})
-    return merge_plurals(named)
+    return replace_ends(named, plural_map(entities_of(named, keys), keys), "entity", "singular", keys)
 
 
-def entities_of(triples: DataFrame) -> DataFrame:
-    return triples.select(F.col("s").alias("entity")).union(triples.select(F.col("o").alias("entity"))).distinct()
+def entities_of(triples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return nodes_of(triples.select(*keys, F.col("s").alias("src"), F.col("o").alias("dst")), keys).withColumnRenamed("id", "entity")
 
 
-def plural_map(entities: DataFrame) -> DataFrame:
-    """(entity, singular) for single words in -s whose singular is an entity as well."""
+def plural_map(entities: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, entity, singular) for single words in -s whose singular is an entity as well."""
     e = F.col("entity")
     plural = entities.where(~e.contains(" ") & ~e.contains("'") & e.endswith("s") & (F.length(e) > 3))
     named = plural.withColumn("singular", F.expr("substring(entity, 1, length(entity) - 1)"))
-    return named.join(entities.select(F.col("entity").alias("singular")), "singular", "left_semi").select("entity", "singular")
+    held = entities.select(*keys, F.col("entity").alias("singular"))
+    return named.join(held, [*keys, "singular"], "left_semi").select(*keys, "entity", "singular")
 
 
-def replace_ends(triples: DataFrame, mapping: DataFrame, source: str, target: str) -> DataFrame:
+def replace_ends(triples: DataFrame, mapping: DataFrame, source: str, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """Both ends through the mapping; an end it does not hold stays."""
     for end in ("s", "o"):
-        side = mapping.select(F.col(source).alias(end), F.col(target).alias("_to"))
-        triples = triples.join(side, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        side = mapping.select(*keys, F.col(source).alias(end), F.col(target).alias("_to"))
+        triples = triples.join(side, [*keys, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return triples
 
 
-def merge_plurals(triples: DataFrame) -> DataFrame:
-    return replace_ends(triples, plural_map(entities_of(triples)), "entity", "singular")
-
-
 # --- clustering ------------------------------------------------------------------------------------------------------
 
 
