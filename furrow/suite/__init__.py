@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FAMILIES = ("prices", "news", "decisions", "texts", "vectors", "graphs", "ingestion", "models")
+FAMILIES = ("prices", "news", "decisions", "texts", "vectors", "graphs", "ingestion", "models", "streams")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

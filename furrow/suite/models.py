@@ -14,6 +14,7 @@ from furrow.plans import ingestion as I
 from furrow.plans import keywords as KW
 from furrow.plans import market_report as MR
 from furrow.plans import news_model as NM
+from furrow.session import cut_lineage
 from furrow.suite import query
 from furrow.suite.news import FEATURE_SQL, NEWS_PX, rounded
 from furrow.suite.prices import LONG, NAMES, day
@@ -48,7 +49,7 @@ def _(spark, sf):
 
 @query("class_scores__agg19", LONG + LABELS + """, s AS (SELECT label AS c, count(*) AS support, count(*) FILTER (predicted = label) AS tp FROM k GROUP BY label), p AS (SELECT predicted AS c, count(*) AS claimed FROM k GROUP BY predicted),
 m AS (SELECT s.c, support, CAST(tp AS DOUBLE) / claimed AS pr, CAST(tp AS DOUBLE) / support AS re FROM s JOIN p ON p.c = s.c)
-SELECT c AS label, support, round(pr, 6) AS "precision", round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1, round((SELECT CAST(count(*) FILTER (predicted = label) AS DOUBLE) / count(*) FROM k), 6) AS accuracy FROM m""")
+SELECT c AS label, support, round(pr, 6) AS "precision", round(re, 6) AS recall, CASE WHEN pr + re > 0 THEN round(2 * pr * re / (pr + re), 6) ELSE 0 END AS f1, round((SELECT CAST(count(*) FILTER (predicted = label) AS DOUBLE) / count(*) FROM k), 6) AS accuracy FROM m""")
 def _(spark, sf):
     return rounded(A.class_scores(_labelled(spark, sf), "label", "predicted"), 6, "precision", "recall", "f1", "accuracy")
 
@@ -109,7 +110,7 @@ def _(spark, sf):
 
 
 def _directions(spark, sf):
-    features = _timeseries(spark, sf)
+    features = cut_lineage(_timeseries(spark, sf))
     last = features.groupBy("ds").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").agg(F.max("ds")).first()[0]
     return FC.predict_direction(features, str(last), list(NAMES), window=600, min_rows=100, trees=5, depth=4)
 
