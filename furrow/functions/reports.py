@@ -52,9 +52,14 @@ CONFIDENCE_MARK = "{{CONFIDENCE_V2}}"
 BREAK = "\u0001"  # set before each section header, then split on
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed a single time, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of the group, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return once(F.regexp_extract(text, pattern, group), lambda m: F.nullif(m, F.lit("")))
 
 
 def lines_of(text: Column) -> Column:
@@ -72,8 +77,12 @@ def first_match(items: Column, keep: Callable[[Column], Column]) -> Column:
 
 def after_first(items: Column, is_start: Callable[[Column], Column], count: int) -> Column:
     """Up to `count` elements after the first that passes; empty when none does."""
-    at = F.array_position(F.transform(items, is_start), True).cast("int")
-    return F.when(at > 0, F.slice(items, at + 1, F.lit(count)))
+
+    def tail(held: Column) -> Column:
+        at = F.array_position(F.transform(held, is_start), True).cast("int")
+        return once(at, lambda i: F.when(i > 0, F.slice(held, i + 1, F.lit(count))))
+
+    return once(items, tail)
 
 
 # --- opinion ---------------------------------------------------------------------------------------------------------
@@ -84,15 +93,18 @@ def opinion(text: Column) -> Column:
 
     Serialised reports carry their line breaks as backslash-n; these count as line breaks.
     """
-    plain = F.replace(text, F.lit("\\n"), F.lit("\n"))
-    rows = after_first(lines_of(plain), lambda x: x.contains(OPINION) & x.contains("|"), 5)
     last_cell = lambda x: F.regexp_extract(x, r"([^|]*[^|\s][^|]*)[|\s]*$", 1)
-    named = F.transform(
-        F.filter(rows, lambda x: x.contains("|") & ~x.rlike(RULE_LINE)),
-        lambda x: F.regexp_extract(last_cell(x), f"({'|'.join(OPINIONS)})", 1),
-    )
-    scanned = first_match(named, lambda x: x != "")
-    return F.coalesce(found(plain, OPINION_TABLE), scanned, F.lit(""))
+
+    def scanned(plain: Column) -> Column:
+        rows = after_first(lines_of(plain), lambda x: x.contains(OPINION) & x.contains("|"), 5)
+        named = F.transform(
+            F.filter(rows, lambda x: x.contains("|") & ~x.rlike(RULE_LINE)),
+            lambda x: F.regexp_extract(last_cell(x), f"({'|'.join(OPINIONS)})", 1),
+        )
+        return first_match(named, lambda x: x != "")
+
+    return once(F.replace(text, F.lit("\\n"), F.lit("\n")),
+                lambda plain: F.coalesce(found(plain, OPINION_TABLE), scanned(plain), F.lit("")))
 
 
 # --- summary row and what falls back on it ---------------------------------------------------------------------------
@@ -194,10 +206,9 @@ def mood_label(text: Column, summary: Column) -> Column:
 
 def components(text: Column, minimum: int = 3) -> Column:
     """Map of component label to value; null with fewer than `minimum` of them."""
-    values = [found(text, rf"{name}\s*[:=]\s*(-?\d+\.?\d*)").try_cast("double") for name in COMPONENTS]
+    values = [F.regexp_extract(text, rf"{name}\s*[:=]\s*(-?\d+\.?\d*)", 1).try_cast("double") for name in COMPONENTS]
     pairs = F.create_map(*[x for name, v in zip(COMPONENTS, values) for x in (F.lit(name), v)])
-    known = F.map_filter(pairs, lambda _, v: v.isNotNull())
-    return F.when(F.size(known) >= minimum, known)
+    return once(F.map_filter(pairs, lambda _, v: v.isNotNull()), lambda known: F.when(F.size(known) >= minimum, known))
 
 
 def news_counts(text: Column) -> Column:
@@ -272,11 +283,12 @@ def sections(text: Column) -> Column:
     pieces = F.split(F.regexp_replace(text, header, f"{BREAK}$0"), BREAK)
 
     def section(piece: Column, i: Column) -> Column:
-        whole = F.regexp_replace(piece, r"\r?\n\z", "")
-        head = F.regexp_extract(whole, r"^([^\n]*)", 1)
-        title = F.coalesce(found(F.trim(head), f"^{NUMBERED_HEADER}(.+?)\\s*$"), F.trim(head))
+        return once(F.regexp_replace(piece, r"\r?\n\z", ""), lambda whole: parts(piece, whole, i == 0))
+
+    def parts(piece: Column, whole: Column, first: Column) -> Column:
+        head = F.trim(F.substring_index(whole, "\n", 1))
+        title = once(head, lambda h: F.coalesce(found(h, f"^{NUMBERED_HEADER}(.+?)\\s*$"), h))
         below = F.regexp_extract(whole, r"(?s)^[^\n]*\n(.*)$", 1)
-        first = i == 0
         return F.struct(
             F.when(first, F.lit(DEFAULT_TITLE)).otherwise(title).alias("title"),
             F.regexp_replace(F.when(first, whole).otherwise(below), r"^\s+|\s+$", "").alias("body"),
@@ -304,17 +316,11 @@ def inject_confidence(text: Column, probability: Column) -> Column:
     """Put the decision's probability, in percent, at the mark or into the fifth cell of the summary row."""
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(probability, F.lit(0.0))))
     score = F.round(clipped * 100).cast("int").cast("string")
-    lines = F.split(text, "\n")
-    head = lambda x: F.trim(x).startswith("|") & x.contains(PREVIOUS_CLOSE) & x.contains("확신도")
-    at = F.array_position(F.transform(lines, head), True).cast("int")
-
-    def refilled(x: Column) -> Column:
-        cells = _cells(F.trim(x))
-        filled = F.concat(F.slice(cells, 1, 4), F.array(score))
-        return F.when(F.trim(x).startswith("|") & (F.size(cells) >= 5), F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"))).otherwise(x)
-
-    changed = F.transform(lines, lambda x, i: F.when((at > 0) & (i == at + 1), refilled(x)).otherwise(x))
-    return F.when(text.contains(CONFIDENCE_MARK), F.replace(text, F.lit(CONFIDENCE_MARK), score)).otherwise(F.array_join(changed, "\n"))
+    cell = r"\|[ \t]*([^|\n]*?)[ \t]*"
+    head = r"([ \t]*\|[^\n]*어제 종가[^\n]*확신도[^\n]*\n[^\n]*\n)"
+    row = rf"(?s:\A(.*?))(?m:^{head}[ \t]*{cell * 4}\|[^|\n]*(?:\|[^\n]*)?$)"
+    refilled = F.regexp_replace(text, F.lit(row), F.concat(F.lit("$1$2| $3 | $4 | $5 | $6 | "), score, F.lit(" |")))
+    return F.when(text.contains(CONFIDENCE_MARK), F.replace(text, F.lit(CONFIDENCE_MARK), score)).otherwise(refilled)
 
 
 def passes_quality(text: Column, minimum: int = 100) -> Column:

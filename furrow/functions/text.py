@@ -129,9 +129,10 @@ def is_ranked_entity(entity: Column) -> Column:
 
 
 def is_low_weight_verb(verb: Column) -> Column:
-    """Definitional phrase, or a bare be/have form: one that is not followed by a participle."""
+    """Definitional phrase, or be/have forms that no participle follows (`is`, `has been`, but not `was reduced by`)."""
     text = F.lower(F.trim(verb))
-    bare = text.rlike(rf"^({'|'.join(BE_HAVE_FORMS)})\b") & ~text.rlike(r"^\w+ (\w+ )?\w+(ed|en)\b")
+    auxiliaries = rf"^(?:(?:{'|'.join(BE_HAVE_FORMS)})\b ?)+"
+    bare = text.rlike(auxiliaries) & ~F.regexp_replace(text, auxiliaries, "").rlike(r"^\w+(ed|en)\b")
     return F.coalesce(text.rlike("|".join(DEFINITIONAL_PHRASES)) | bare, F.lit(False))
 
 

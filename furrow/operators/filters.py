@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,8 +238,9 @@ def accepted(df: DataFrame, col: str = "filter_status") -> DataFrame:
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
-    """True when a term occurs in the text; one alternation, terms taken literally."""
-    return text.rlike("|".join(f"\\Q{t}\\E" for t in terms))
+    """True when a term occurs in the text. Plain searches beat one alternation; a term holding another is implied."""
+    needed = [t for t in terms if not any(other != t and other in t for other in terms)]
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in needed])
 
 
 def keyword_gate(df: DataFrame, commodity: str = "corn", pattern: str | None = None, col: str = "key_word") -> DataFrame:
@@ -269,6 +271,11 @@ def relevance_score(title: Column, description: Column) -> Column:
     return F.when(any_term(text, EXCLUDED_TERMS), 0).otherwise(points)
 
 
+def with_relevance_score(df: DataFrame, title: str, description: str, out: str = "score") -> DataFrame:
+    """The score as a generated column: filters on it then read the value instead of searching the text again."""
+    return df.select("*", F.explode(F.array(relevance_score(F.col(title), F.col(description)))).alias(out))
+
+
 def relevance_gate(df: DataFrame, score: str = "score", status: str = "filter_status") -> DataFrame:
     """Score 3 passes to the extractor; keep what it accepts or what scores 5, marked T."""
     keep = (F.col(score) >= 3) & ((F.col(status) == "T") | (F.col(score) >= 5))

@@ -48,7 +48,7 @@ def nodes_of(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ends.distinct()
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tol: float = 1e-8, max_rounds: int = 100,
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tol: float = 1e-8, max_rounds: int = 120,
              rounds_per_check: int = 4, hub_edges: int = 100_000, keys: Sequence[str] = ()) -> DataFrame:
     """Weighted PageRank per graph (`keys` name the graph; none for a single one): (keys, id, rank).
 

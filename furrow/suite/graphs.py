@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from furrow.functions import text as TX
 from furrow.operators import graph as G
 from furrow.operators import topk as K
+from furrow.session import cut_lineage
 from furrow.suite import query
 from furrow.suite.views import view, with_views
 
 NAMES = with_views("names")
 TRI = with_views("triples")
-LOW = rf"(regexp_matches(lower(trim(v)), '{'|'.join(TX.DEFINITIONAL_PHRASES)}') OR (regexp_matches(lower(trim(v)), '^({'|'.join(TX.BE_HAVE_FORMS)})\b') AND NOT regexp_matches(lower(trim(v)), '^\w+ (\w+ )?\w+(ed|en)\b')))"
+AUX = rf"^(?:(?:{'|'.join(TX.BE_HAVE_FORMS)})\b ?)+"
+LOW = rf"(regexp_matches(lower(trim(v)), '{'|'.join(TX.DEFINITIONAL_PHRASES)}') OR (regexp_matches(lower(trim(v)), '{AUX}') AND NOT regexp_matches(regexp_replace(lower(trim(v)), '{AUX}', ''), '^\w+(ed|en)\b')))"
 NOISE = ", ".join(f"'{n}'" for n in TX.NOISE_ENTITIES)
 
 
@@ -103,7 +105,7 @@ RANKS = EDGES + _rounds(25)
 
 def edges_of(triples):
     weight = G.edge_weight(F.col("v"), F.col("v") == "was reduced by", F.col("v") == "prices rise")
-    return G.build_edges(triples, weight)
+    return cut_lineage(G.build_edges(triples, weight))  # read several times by every ranking
 
 
 @query("weighted_edges__gr1", EDGES + " SELECT src, dst, verb, weight FROM edges")

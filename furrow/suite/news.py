@@ -184,7 +184,7 @@ scored AS (SELECT *, CASE WHEN {_hit(P.EXCLUDED_TERMS)} THEN 0 ELSE CASE WHEN {_
 
 
 def _scored(spark, sf):
-    return view(spark, sf, "news").withColumn("score", P.relevance_score(F.col("key_word"), F.col("all_text")))
+    return P.with_relevance_score(view(spark, sf, "news"), "key_word", "all_text")
 
 
 @query("relevance_score__flt13", SCORED + " SELECT id, score FROM scored")
