@@ -82,13 +82,15 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     moves = cut_lineage(moves.repartition(width, *joined, "part"))
 
     def step(state: DataFrame) -> DataFrame:
-        copies = state.where("parts > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        given = moves.join(copies.select(*joined, "part", "rank"), [*joined, "part"])
-        flow = given.select(*keys, F.col("dst").alias("id"), F.lit(None).cast("int").alias("parts"), F.lit(None).cast("double").alias("teleport"),
-                            (F.col("rank") * F.col("share")).alias("inflow"), F.lit(None).cast("double").alias("kept"))
-        before = state.select(*joined, "parts", "teleport", F.lit(0.0).alias("inflow"), F.col("rank").alias("kept"))
-        # What a node held, its constants and its inflow meet in one aggregate.
-        return flow.union(before).groupBy(*joined).agg(
+        # Part -1 carries the node itself, the others its rank to the edges. The state is read once per round, so that
+        # a chain of rounds stays a chain.
+        copies = state.drop("previous").withColumn("part", F.explode(F.sequence(F.lit(-1), F.col("parts") - 1)))
+        own = F.col("part") == -1
+        sent = copies.join(moves, [*joined, "part"], "left").where(own | F.col("dst").isNotNull()).select(
+            *keys, F.when(own, F.col("id")).otherwise(F.col("dst")).alias("id"),
+            *[F.when(own, F.col(c)).alias(c) for c in ("parts", "teleport")], F.when(own, F.col("rank")).alias("kept"),
+            F.when(own, 0.0).otherwise(F.col("rank") * F.col("share")).alias("inflow"))
+        return sent.groupBy(*joined).agg(
             F.max("parts").alias("parts"), F.max("teleport").alias("teleport"), F.max("kept").alias("previous"),
             (F.max("teleport") + F.sum("inflow")).alias("rank"))
 
