@@ -142,6 +142,6 @@ def _(spark, sf):
     past = J.attach_reaction(past, J.price_reaction(bars, past.withColumnRenamed("publish_date", "base_date")))
     forecasts = view(spark, sf, "forecasts").select(
         "commodity", "target_date", F.when(F.col("direction") == 1, "Up").otherwise("Down").alias("forecast_direction"), F.lit(50.0).alias("confidence_score"), F.col("forecast_price").alias("yhat"))
-    entities = A.news_features(news, bars).groupBy("commodity").agg(F.sum("news_count").alias("score")).select("commodity", F.lit(1).alias("place"), F.col("commodity").alias("entity"), "score")
+    entities = KW.analyse(_extracted(spark, sf), "2024-01-20", days=20, tol=1e-6, with_triples=False).entities
     records = MR.market_records(forecasts, reports, entities, past)
     return day(records.select("commodity", "date", F.to_json(F.struct("timeseries", "news", "keywords", "past_news")).alias("record")))
