@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions.expressions import once
+
 # --- fixed values: labels and patterns of the report format ----------------------------------------------------------
 OPINIONS = ["SELL", "HOLD", "BUY"]
 PREVIOUS_CLOSE, MARKET_MOOD, OPINION = "어제 종가", "시장 심리", "종합 의견"
@@ -52,11 +54,6 @@ CONFIDENCE_MARK = "{{CONFIDENCE_V2}}"
 BREAK = "\u0001"  # set before each section header, then split on
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value computed a single time, however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of the group, or null."""
     return once(F.regexp_extract(text, pattern, group), lambda m: F.nullif(m, F.lit("")))

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.expressions import once
+
 BAR_COLUMNS = ("commodity", "date", "open", "high", "low", "close", "ema", "volume", "ingested_at")
 DEFAULT_COMMODITIES = ("corn", "soybean", "wheat")
 
@@ -263,12 +265,16 @@ def keyword_any_of(df: DataFrame, expression: str, col: str = "key_word") -> Dat
 
 def relevance_score(title: Column, description: Column) -> Column:
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
-    points = (
-        F.when(any_term(text, COMMODITY_TERMS), 2).otherwise(0)
-        + F.when(any_term(text, MARKET_TERMS), 1).otherwise(0)
-        + F.when(any_term(text, POLICY_CLIMATE_TERMS), 2).otherwise(0)
-    )
-    return F.when(any_term(text, EXCLUDED_TERMS), 0).otherwise(points)
+
+    def score(t: Column) -> Column:
+        points = (
+            F.when(any_term(t, COMMODITY_TERMS), 2).otherwise(0)
+            + F.when(any_term(t, MARKET_TERMS), 1).otherwise(0)
+            + F.when(any_term(t, POLICY_CLIMATE_TERMS), 2).otherwise(0)
+        )
+        return F.when(any_term(t, EXCLUDED_TERMS), 0).otherwise(points)
+
+    return once(text, score)  # the lower-cased text is made once, not once per term
 
 
 def with_relevance_score(df: DataFrame, title: str, description: str, out: str = "score") -> DataFrame:

@@ -159,6 +159,7 @@ def normalised_triples(triples: DataFrame, keys: Sequence[str] = ()) -> DataFram
     s, o = F.col("s"), F.col("o")
     valid = triples.where(TX.is_valid_entity(s) & TX.is_valid_entity(o))
     named = valid.withColumns({"raw_s": s, "raw_o": o, "s": TX.graph_entity(s), "o": TX.graph_entity(o)})
+    named = cut_lineage(named)  # names are needed three times, and making them is the costly part
     return replace_ends(named, plural_map(entities_of(named, keys), keys), "entity", "singular", keys)
 
 
