@@ -30,9 +30,14 @@ feat AS (SELECT commodity, date, avg(price_impact_score) AS avg_price_impact, av
   avg(coalesce(neutral_score, 0)) AS avg_neutral, coalesce(stddev_samp(price_impact_score), 0) AS impact_std, count(*) AS news_count,
   count(*) FILTER (sentiment = 'positive') AS positive_count, count(*) FILTER (sentiment = 'negative') AS negative_count, count(*) FILTER (sentiment = 'neutral') AS neutral_count
   FROM win GROUP BY commodity, date)"""
-FEATURE_COLUMNS = """round(avg_price_impact, 6) + 0.0 AS avg_price_impact, round(avg_positive, 6) AS avg_positive, round(avg_negative, 6) AS avg_negative,
-round(avg_neutral, 6) AS avg_neutral, round(impact_std, 6) AS impact_std, news_count, positive_count, negative_count, neutral_count"""
-FEATURE_FLOATS = ("avg_price_impact", "avg_positive", "avg_negative", "avg_neutral", "impact_std")
+# Means of short decimals end in exact halves at six places, so they are compared at ten.
+FEATURE_COLUMNS = """round(avg_price_impact, 10) + 0.0 AS avg_price_impact, round(avg_positive, 10) AS avg_positive, round(avg_negative, 10) AS avg_negative,
+round(avg_neutral, 10) AS avg_neutral, round(impact_std, 6) AS impact_std, news_count, positive_count, negative_count, neutral_count"""
+FEATURE_MEANS = ("avg_price_impact", "avg_positive", "avg_negative", "avg_neutral")
+
+
+def rounded_features(df):
+    return rounded(rounded(df, 10, *FEATURE_MEANS), 6, "impact_std")
 
 
 @query("news_window_join__jn2", NEWS_PX + FEATURE_SQL + " SELECT commodity, CAST(date AS STRING) AS date, id FROM win")
@@ -43,7 +48,7 @@ def _(spark, sf):
 @query("news_window_features__agg1", NEWS_PX + FEATURE_SQL + f" SELECT commodity, CAST(date AS STRING) AS date, {FEATURE_COLUMNS} FROM feat")
 def _(spark, sf):
     out = A.news_features(view(spark, sf, "news"), view(spark, sf, "px_daily"))
-    return day(rounded(out, 6, *FEATURE_FLOATS))
+    return day(rounded_features(out))
 
 
 @query("news_features_with_direction__agg10", NEWS_PX + FEATURE_SQL + f""", t AS (SELECT commodity, date, close, lead(close) OVER (PARTITION BY commodity ORDER BY date) AS target_close FROM px_daily)
@@ -57,7 +62,7 @@ def _(spark, sf):
     move = F.col("target_close") - F.col("close")
     tone = F.round("avg_price_impact", 9)
     agrees = F.when((tone == 0) | (move == 0), -1).when(F.signum(tone) == F.signum(move), 1).otherwise(0)
-    return day(rounded(out.withColumn("agrees", agrees), 6, *FEATURE_FLOATS))
+    return day(rounded_features(out.withColumn("agrees", agrees)))
 
 
 @query("news_alignment__agg10", with_views("ratios", "px_daily") + """, s AS (SELECT date, keyword AS commodity, sum(news_count) AS news_count, (avg(pos_ratio) - avg(neg_ratio)) * 100 AS sentiment FROM ratios GROUP BY date, keyword),
