@@ -48,14 +48,16 @@ def nodes_of(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ends.distinct()
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tol: float = 1e-8, max_rounds: int = 120,
-             rounds_per_check: int = 4, hub_edges: int = 100_000, keys: Sequence[str] = ()) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tol: float = 1e-10, max_rounds: int = 400,
+             rounds_per_check: int = 8, hub_edges: int = 100_000, keys: Sequence[str] = ()) -> DataFrame:
     """Weighted PageRank per graph (`keys` name the graph; none for a single one): (keys, id, rank).
 
     Mass of nodes without outgoing weight is spread evenly and isolated nodes take part. That spread only scales the
     fixed point, so the rounds leave it out; the scale is set right between rounds and to one at the end. The edges
     are placed by source once and stay there; a hub's edges are split over several join keys, its rank being copied
-    to each, so that no task holds them all. Rounds are chained, written out, and the last one's change decides.
+    to each, so that no task holds them all. Rounds are chained, written out, and the last one's change decides: all
+    ranks together must move by less than `tol` of their sum, whatever the number of nodes. Ranks that have not
+    settled after `max_rounds` (several times what alpha and tol ask for) raise.
     """
     if not keys:  # a single graph is a graph with a constant name
         name = F.lit(0).alias("_graph")
@@ -101,7 +103,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
             done += 1
         state = cut_lineage(state)
         mass, loose = F.sum("rank"), F.sum(F.when(F.col("parts") == 0, F.col("rank")).otherwise(0.0))
-        moved = F.sum(F.abs(F.col("rank") - F.col("previous"))) / mass / F.count(F.lit(1))
+        moved = F.sum(F.abs(F.col("rank") - F.col("previous"))) / mass
         # Scale at which the kept mass balances the mass each round adds.
         scale = (1 - alpha) / (mass - alpha * (mass - loose))
         per_graph = state.groupBy(*keys).agg(moved.alias("moved"), loose.alias("loose"), scale.alias("scale"))
@@ -110,6 +112,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
             break
         if most_loose > 0:
             state = state.join(small(per_graph.select(*keys, "scale")), keys).withColumn("rank", F.col("rank") * F.col("scale")).drop("scale")
+    else:
+        raise RuntimeError(f"ranks not settled after {max_rounds} rounds")
     total = state.groupBy(*keys).agg(F.sum("rank").alias("_total"))
     return state.join(small(total), keys).select(*joined, (F.col("rank") / F.col("_total")).alias("rank"))
 
@@ -214,11 +218,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame, a: str = "id_a", b:
     return nodes.select(id_col).distinct().join(label, id_col, "left").withColumn("component", F.coalesce("component", id_col))
 
 
-def cluster_leaders(items: DataFrame, pairs: DataFrame, id_col: str = "id", order: str = "id", max_rounds: int = 100) -> DataFrame:
+def cluster_leaders(items: DataFrame, pairs: DataFrame, id_col: str = "id", order: str = "id") -> DataFrame:
     """Greedy leader clustering in the given order: (id, leader).
 
     An item leads unless an earlier leader is paired with it, and follows the earliest such leader. Decided in
-    rounds: whoever has only followers before it leads; whoever has a leader before it follows.
+    rounds: whoever has only followers before it leads; whoever has a leader before it follows. Every round decides the
+    first open item at least, so the rounds end; there is no limit to them. Pairs of decided items are left out.
     """
     # `pairs` hold id_a, id_b of similar items; they are turned so that `before` comes first in the order.
     ranks = items.select(F.col(id_col).alias("x"), F.col(order).alias("at"))
@@ -229,16 +234,15 @@ def cluster_leaders(items: DataFrame, pairs: DataFrame, id_col: str = "id", orde
         F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("before"),
         F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("after"), F.least("at_a", "at_b").alias("at_before")).distinct())
     state = cut_lineage(items.select(F.col(id_col).alias("x"), F.lit("open").alias("status")))
-    for _ in range(max_rounds):
-        seen = turned.join(state.withColumnRenamed("x", "before"), "before").groupBy(F.col("after").alias("x")).agg(
+    live = turned
+    while state.where("status = 'open'").limit(1).count():
+        # Pairs still to be looked at: those whose later item is open.
+        live = cut_lineage(live.join(state.where("status = 'open'").select(F.col("x").alias("after")), "after", "left_semi"))
+        seen = live.join(state.withColumnRenamed("x", "before"), "before").groupBy(F.col("after").alias("x")).agg(
             F.max(F.col("status") == "leader").alias("led"), F.max(F.col("status") == "open").alias("waiting"))
         led, waiting = F.coalesce("led", F.lit(False)), F.coalesce("waiting", F.lit(False))
         decided = F.when(F.col("status") != "open", F.col("status")).when(led, "follower").when(~waiting, "leader").otherwise("open")
         state = cut_lineage(state.join(seen, "x", "left").select("x", decided.alias("status")))
-        if state.where("status = 'open'").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"leaders not settled after {max_rounds} rounds")
     leads = state.where("status = 'leader'").select(F.col("x").alias("before"))
     followed = turned.join(leads, "before", "left_semi").groupBy(F.col("after").alias("x")).agg(F.min_by("before", "at_before").alias("leader"))
     final = state.join(followed, "x", "left")

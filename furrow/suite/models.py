@@ -127,7 +127,7 @@ def _extracted(spark, sf):
 
 @query("keyword_analysis__gr6")
 def _(spark, sf):
-    found = KW.analyse(_extracted(spark, sf), "2024-01-20", days=20, tol=1e-6)
+    found = KW.analyse(_extracted(spark, sf), "2024-01-20", days=20)
     kinds = {"entity": (found.entities, "entity", "score"), "verb": (found.verbs, "verb", "score"), "triple": (found.triples, "triple_text", "importance")}
     parts = [df.select("commodity", F.lit(k).alias("kind"), "place", F.col(c).alias("item"), F.col(s).alias("score")) for k, (df, c, s) in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -142,6 +142,6 @@ def _(spark, sf):
     past = J.attach_reaction(past, J.price_reaction(bars, past.withColumnRenamed("publish_date", "base_date")))
     forecasts = view(spark, sf, "forecasts").select(
         "commodity", "target_date", F.when(F.col("direction") == 1, "Up").otherwise("Down").alias("forecast_direction"), F.lit(50.0).alias("confidence_score"), F.col("forecast_price").alias("yhat"))
-    entities = KW.analyse(_extracted(spark, sf), "2024-01-20", days=20, tol=1e-6, with_triples=False).entities
+    entities = KW.analyse(_extracted(spark, sf), "2024-01-20", days=20, with_triples=False).entities
     records = MR.market_records(forecasts, reports, entities, past)
     return day(records.select("commodity", "date", F.to_json(F.struct("timeseries", "news", "keywords", "past_news")).alias("record")))
