@@ -75,8 +75,12 @@ def parse_embedding(text: Column) -> Column:
 
 
 def parse_triples(text: Column) -> Column:
-    """Triples of a JSON array of arrays: entries with three or more items, first three kept."""
-    return F.transform(F.filter(F.from_json(text, "array<array<string>>"), lambda t: F.size(t) >= 3), lambda t: F.slice(t, 1, 3))
+    """Triples of a JSON array of arrays: entries with three or more items, first three kept.
+
+    Each entry is parsed for itself, so one that is no list does not void the others.
+    """
+    entries = F.transform(F.from_json(text, "array<string>"), lambda e: F.from_json(e, "array<string>"))
+    return F.transform(F.filter(entries, lambda t: F.size(t) >= 3), lambda t: F.slice(t, 1, 3))
 
 
 def key_entities(text: Column, k: int = 5) -> Column:
@@ -153,11 +157,12 @@ def lemma(word: Column) -> Column:
 
 
 def normalise_entity(entity: Column) -> Column:
-    """Short capital codes stay; other names become lower case with each word reduced to its base."""
+    """Codes of two to four characters whose letters are all capitals stay; other names become lower case with each word reduced to its base."""
     name = F.trim(entity)
     words = F.transform(F.split(F.lower(name), " +"), lemma)
     base = F.array_join(words, " ")
-    return F.when(name.rlike(r"^[A-Z]{2,4}$"), name).otherwise(base)
+    code = F.length(name).between(2, 4) & (F.upper(name) == name) & (F.lower(name) != name)
+    return F.when(code, name).otherwise(base)
 
 
 def graph_entity(entity: Column) -> Column:

@@ -51,7 +51,7 @@ def _lemma(c):
 
 
 def _norm(c):
-    return f"CASE WHEN regexp_matches(trim({c}), '^[A-Z]{{2,4}}$') THEN trim({c}) ELSE array_to_string(list_transform(regexp_split_to_array(lower(trim({c})), ' +'), lambda w: {_lemma('w')}), ' ') END"
+    return f"CASE WHEN length(trim({c})) BETWEEN 2 AND 4 AND upper(trim({c})) = trim({c}) AND lower(trim({c})) <> trim({c}) THEN trim({c}) ELSE array_to_string(list_transform(regexp_split_to_array(lower(trim({c})), ' +'), lambda w: {_lemma('w')}), ' ') END"
 
 
 @query("normalised_entities__fn13", NAMES + f" SELECT p_partkey, {_norm('entity')} AS normalised FROM names")
@@ -61,7 +61,7 @@ def _(spark, sf):
 
 LINES = r"""WITH pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, regexp_split_to_array(trim(line), ' +') AS ws FROM pieces),
 raw AS (SELECT ws[1] AS s, ws[2] AS v, ws[3] AS o, count(*) AS n FROM w WHERE len(ws) >= 3 GROUP BY ALL)"""
-ENDS = f"CASE WHEN upper({{0}}) = {{0}} AND lower({{0}}) <> {{0}} AND length({{0}}) > 1 THEN {{0}} ELSE {_norm('{0}').replace('{2,4}', '{{2,4}}').replace('{2,}', '{{2,}}')} END"
+ENDS = f"CASE WHEN upper({{0}}) = {{0}} AND lower({{0}}) <> {{0}} AND length({{0}}) > 1 THEN {{0}} ELSE {_norm('{0}').replace('{2,}', '{{2,}}')} END"
 VALID = r"length(trim({0})) >= 2 AND NOT regexp_matches(regexp_replace(trim({0}), '[.\-]', '', 'g'), '^[0-9]+$') AND regexp_matches(trim({0}), '[\p{{L}}\p{{N}}]')"
 NORMAL = LINES + f""", nt AS (SELECT s AS raw_s, v, o AS raw_o, n, {ENDS.format('s')} AS s, {ENDS.format('o')} AS o FROM raw WHERE {VALID.format('s')} AND {VALID.format('o')}),
 ents AS (SELECT s AS entity FROM nt UNION SELECT o FROM nt), pl AS (SELECT entity, substring(entity, 1, length(entity) - 1) AS singular FROM ents WHERE NOT contains(entity, ' ') AND NOT contains(entity, '''') AND ends_with(entity, 's') AND length(entity) > 3 AND substring(entity, 1, length(entity) - 1) IN (SELECT entity FROM ents)),

@@ -72,10 +72,13 @@ def _(spark, sf):
 
 
 @query("triples_from_json__fn10", """WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT doc_id, string_split(replace(line, '"', ''), ' ') AS ws FROM w)
+-- In every third text the lists stand between entries that are none: those are left out, the lists stay.
 SELECT doc_id, count(*) AS triples, min(ws[1] || '|' || ws[2] || '|' || ws[3]) AS least FROM a WHERE len(ws) >= 3 GROUP BY doc_id""")
 def _(spark, sf):
     lines = F.transform(F.split("text", "\n"), lambda x: F.split(F.replace(x, F.lit('"'), F.lit("")), " "))
-    parsed = view(spark, sf, "documents").select("doc_id", F.explode(TX.parse_triples(F.to_json(lines))).alias("t"))
+    listed = F.to_json(lines)
+    mixed = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(F.concat(F.lit('["no list",'), F.substring(listed, 2, 10_000_000)), r"\]$", ',7,{"a":1}]')).otherwise(listed)
+    parsed = view(spark, sf, "documents").select("doc_id", F.explode(TX.parse_triples(mixed)).alias("t"))
     return parsed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("triples"), F.min(F.concat_ws("|", "t")).alias("least"))
 
 
