@@ -22,9 +22,11 @@ def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, date_col: str | None = None) -> DataFrame:
-    """CSV with a header; texts may hold quotes and line breaks. The date column is parsed, bad dates become null."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str, date_col: str | None = None, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header; texts may hold quotes and, with `line_breaks`, these too: then a file is one task.
+
+    The date column is parsed, bad dates become null."""
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=line_breaks, escape='"')
     return df if date_col is None else df.withColumn(date_col, F.expr(f"try_to_timestamp({date_col})"))
 
 
@@ -33,7 +35,7 @@ def read_news_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.PRICE_CSV, "time")
+    return read_csv(spark, path, schemas.PRICE_CSV, "time", line_breaks=False)
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema: str = schemas.RAW_NEWS) -> DataFrame:
