@@ -369,3 +369,44 @@ def test_past_news_dedups_by_prefix_and_limits(spark):
     rows = [("corn", D0 + dt.timedelta(days=i), text + str(i), None) for i in range(3)] + [("corn", D0, f"other {i} story", None) for i in range(12)] + [("corn", D0, "", ""), ("corn", None, "undated", None)]
     got = K.past_news(spark.createDataFrame(rows, "commodity STRING, publish_date DATE, all_text STRING, description STRING"), ["commodity"]).orderBy("rank").collect()
     assert len(got) == 10 and got[0]["all_text"].endswith("2") and sum(r["all_text"].startswith("word") for r in got) == 1
+
+
+def test_codes_with_digits_and_dots_stay(spark):
+    df = spark.createDataFrame([("H5N1",), ("U.S.",), ("USDA",), ("Corn Prices",), ("1234",), ("EU27X",)], "e STRING")
+    got = {r.e: r.n for r in df.select("e", TX.normalise_entity(F.col("e")).alias("n")).collect()}
+    assert got == {"H5N1": "H5N1", "U.S.": "U.S.", "USDA": "USDA", "Corn Prices": "corn price", "1234": "1234", "EU27X": "eu27x"}
+
+
+def test_one_bad_entry_does_not_void_the_triples(spark):
+    df = spark.createDataFrame([('[["a","b","c"],"x",["d","e","f","g"],["h"],5]',), ("oops",), (None,)], "t STRING")
+    assert [r.p for r in df.select(TX.parse_triples(F.col("t")).alias("p")).collect()] == [[["a", "b", "c"], ["d", "e", "f"]], None, None]
+
+
+def test_one_bad_article_does_not_lose_its_batch(spark):
+    from furrow.plans.ingestion import extract_by_model
+
+    def load():
+        def model(batch):
+            if (batch["title"] == "bad").any():
+                raise ValueError("bad article")
+            return batch[["id"]].assign(filter_status="T", named_entities=[["N"]] * len(batch), triples=[[["a", "b", "c"]]] * len(batch))
+
+        return model
+
+    df = spark.createDataFrame([(str(i), "bad" if i == 3 else "good", "text") for i in range(8)], "id STRING, title STRING, all_text STRING").coalesce(1)
+    got = {r.id: (r.filter_status, len(r.triples)) for r in extract_by_model(df, load).collect()}
+    assert got == {str(i): ("F", 0) if i == 3 else ("T", 1) for i in range(8)}
+
+
+def test_leaders_of_a_long_chain(spark):
+    n = 60
+    items = spark.createDataFrame([(i,) for i in range(n)], "id INT")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "id_a INT, id_b INT")
+    got = {r.id: r.leader for r in G.cluster_leaders(items, pairs).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
+def test_unsettled_ranks_raise(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (1, 3, 0.5)], "src INT, dst INT, weight DOUBLE")
+    with pytest.raises(RuntimeError):
+        G.pagerank(edges, max_rounds=2, tol=1e-14)
