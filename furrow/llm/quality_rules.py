@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WHITE, with_results
+from furrow.llm.common import WHITE, row_total, with_results
 from furrow.session import cut_lineage
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -32,6 +32,8 @@ RULES: dict[str, str] = {
 }
 #: A host is rejected if a rule's shrunk failure rate is above this.
 MOST = 0.5
+#: Hosts whose verdicts (some ten bytes and a name each) are sent to every task; more are joined by shuffle.
+SENT_HOSTS = 200_000
 #: Documents that the prior weighs: at least, and at most.
 STRENGTH = (1.0, 1e6)
 
@@ -105,10 +107,12 @@ def host_verdicts(rows: DataFrame, host: str = "source", most: float = MOST) ->
 def judged(rows: DataFrame, host: str = "source", most: float = MOST) -> DataFrame:
     """Measured rows with base_failed and kept. `rows` is read twice: for the hosts, and for the documents.
 
-    The join is by host; adaptive execution broadcasts the verdicts where their measured size allows, and splits a hot
-    host's documents where not.
+    The join is by host. The hosts are counted: up to SENT_HOSTS verdicts are broadcast; beyond that, adaptive execution
+    splits a hot host's documents.
     """
     verdict = host_verdicts(rows, host, most).select(F.col("host").alias("__host"), F.col("host_kept").alias("__kept"))
+    if row_total(verdict) <= SENT_HOSTS:
+        verdict = F.broadcast(verdict)
     joined = rows.join(verdict, F.col(host) == F.col("__host"), "left")
     return joined.withColumn("base_failed", F.col("failed_base")).withColumn(
         "kept", ~F.col("failed_base") & F.coalesce("__kept", F.lit(True))).drop("__host", "__kept")
