@@ -43,6 +43,7 @@ def by_size(items: list[str], most: int) -> Iterator[tuple[int, int]]:
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python task holds at once: rows differ in size by several powers of ten."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def row_total(df: DataFrame) -> int:
