@@ -64,11 +64,23 @@ def evidence_scores(impact: Column) -> dict[str, Column]:
 
 # Class codes of the three-way model and their names.
 TRI_NAMES = {0: "하락", 1: "상승", 2: "유지"}
+# What the vote gives as its reason, by what the rise and drop models say and the three-way class.
+VOTE_REASONS = {
+    "rise only, 1": "3개 모델 모두 상승 예측 (강한 합의)",
+    "drop only, 0": "3개 모델 모두 하락 예측 (강한 합의)",
+    "neither, 1": "Bi 모델들 중립, Tri 모델 상승 예측",
+    "neither, 0": "Bi 모델들 중립, Tri 모델 하락 예측",
+    "neither, 2": "모든 모델이 중립적 신호",
+    "both, 1": "Negative와 Tri 모델 상승 예측하나 Positive는 하락 예측 (부분 충돌)",
+    "both, 0": "Positive와 Tri 모델 하락 예측하나 Negative는 상승 예측 (부분 충돌)",
+    "both, 2": "모델 간 강한 충돌 (Negative 상승, Positive 하락, Tri 유지)",
+}
+OTHER_REASON = "모델 간 불일치, Tri 모델 예측 우선 적용"
 AGREEMENT_WEIGHT = {"high": 1.0, "medium": 0.85, "low": 0.7}
 
 
 def vote(says_up: Column, says_down: Column, tri: Column) -> dict[str, Column]:
-    """Direction and agreement from a rise model, a drop model and a three-way model (0 down, 1 up, 2 stable).
+    """Direction, agreement and reason from a rise model, a drop model and a three-way model (0 down, 1 up, 2 stable).
 
     The rule is a table of four cases: both specialists can agree with the three-way model, be silent, or clash.
     """
@@ -82,7 +94,10 @@ def vote(says_up: Column, says_down: Column, tri: Column) -> dict[str, Column]:
         .when((~up & ~down) | (clash & (tri != 2)), "medium")
         .otherwise("low")
     )
-    return {"direction": direction, "agreement": agreement}
+    backed = F.when(clash, "both").when(up, "rise only").when(down, "drop only").otherwise("neither")
+    known = F.create_map(*[F.lit(x) for pair in VOTE_REASONS.items() for x in pair])
+    reason = F.coalesce(F.try_element_at(known, F.concat_ws(", ", backed, tri.cast("int").cast("string"))), F.lit(OTHER_REASON))
+    return {"direction": direction, "agreement": agreement, "vote_reason": reason}
 
 
 def vote_probabilities(p_down: Column, p_up: Column, p_stable: Column, says_up: Column, up_confidence: Column,

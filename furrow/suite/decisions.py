@@ -169,10 +169,12 @@ def votes(spark, sf):
 
 @query("three_model_vote__fn20_fn21", VOTES + """, d AS (SELECT *, CASE WHEN up = 1 AND down = 0 AND tri = 1 THEN '상승' WHEN up = 0 AND down = 1 AND tri = 0 THEN '하락' WHEN up = 0 AND down = 0 THEN CASE tri WHEN 0 THEN '하락' WHEN 1 THEN '상승' ELSE '유지' END
  WHEN up = 1 AND tri = 1 THEN '상승' WHEN down = 1 AND tri = 0 THEN '하락' WHEN up = 1 AND down = 1 THEN '유지' ELSE CASE tri WHEN 0 THEN '하락' WHEN 1 THEN '상승' ELSE '유지' END END AS direction,
- CASE WHEN up = 1 AND down = 0 AND tri = 1 THEN 'high' WHEN up = 0 AND down = 1 AND tri = 0 THEN 'high' WHEN up = 0 AND down = 0 THEN 'medium' WHEN up = 1 AND tri = 1 THEN 'medium' WHEN down = 1 AND tri = 0 THEN 'medium' ELSE 'low' END AS agreement FROM m),
+ CASE WHEN up = 1 AND down = 0 AND tri = 1 THEN 'high' WHEN up = 0 AND down = 1 AND tri = 0 THEN 'high' WHEN up = 0 AND down = 0 THEN 'medium' WHEN up = 1 AND tri = 1 THEN 'medium' WHEN down = 1 AND tri = 0 THEN 'medium' ELSE 'low' END AS agreement,
+ CASE up * 100 + down * 10 + tri WHEN 101 THEN '3개 모델 모두 상승 예측 (강한 합의)' WHEN 10 THEN '3개 모델 모두 하락 예측 (강한 합의)' WHEN 1 THEN 'Bi 모델들 중립, Tri 모델 상승 예측' WHEN 0 THEN 'Bi 모델들 중립, Tri 모델 하락 예측' WHEN 2 THEN '모든 모델이 중립적 신호'
+ WHEN 111 THEN 'Negative와 Tri 모델 상승 예측하나 Positive는 하락 예측 (부분 충돌)' WHEN 110 THEN 'Positive와 Tri 모델 하락 예측하나 Negative는 상승 예측 (부분 충돌)' WHEN 112 THEN '모델 간 강한 충돌 (Negative 상승, Positive 하락, Tri 유지)' ELSE '모델 간 불일치, Tri 모델 예측 우선 적용' END AS vote_reason FROM m),
 p AS (SELECT *, CASE WHEN up = 1 AND c1 > 0.8 THEN least(pu * 1.2, 0.95) ELSE pu END AS qu, CASE WHEN down = 1 AND c2 > 0.8 THEN least(pd * 1.2, 0.95) ELSE pd END AS qd, CAST((c1 + c2 + c3) AS DOUBLE) / 3 AS mean FROM d),
 z AS (SELECT *, sqrt(((c1 - mean) * (c1 - mean) + (c2 - mean) * (c2 - mean) + (c3 - mean) * (c3 - mean)) / 3) AS sd FROM p)
-SELECT id, direction, agreement, round(least(mean * CASE agreement WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.85 ELSE 0.7 END * CASE WHEN sd > 0.2 THEN 0.9 ELSE 1.0 END, 0.95), 6) AS confidence,
+SELECT id, direction, agreement, vote_reason, round(least(mean * CASE agreement WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.85 ELSE 0.7 END * CASE WHEN sd > 0.2 THEN 0.9 ELSE 1.0 END, 0.95), 6) AS confidence,
 round(CAST(qu AS DOUBLE) / (qu + qd + ps), 6) AS p_up, round(CAST(qd AS DOUBLE) / (qu + qd + ps), 6) AS p_down, round(CAST(ps AS DOUBLE) / (qu + qd + ps), 6) AS p_stable FROM z""")
 def _(spark, sf):
     df = votes(spark, sf)
@@ -180,7 +182,7 @@ def _(spark, sf):
     result = DF.vote(c("up"), c("down"), c("tri"))
     probs = DF.vote_probabilities(c("pd"), c("pu"), c("ps"), c("up"), c("c1"), c("down"), c("c2"))
     voted = df.withColumns(result)
-    return voted.select("id", "direction", "agreement", F.round(DF.ensemble_confidence(c("agreement"), c("c1"), c("c2"), c("c3")), 6).alias("confidence"),
+    return voted.select("id", "direction", "agreement", "vote_reason", F.round(DF.ensemble_confidence(c("agreement"), c("c1"), c("c2"), c("c3")), 6).alias("confidence"),
                         *[F.round(p, 6).alias(n) for n, p in probs.items()])
 
 

@@ -60,7 +60,8 @@ def _(spark, sf):
 
 
 LINES = r"""WITH pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, regexp_split_to_array(trim(line), ' +') AS ws FROM pieces),
-raw AS (SELECT ws[1] AS s, ws[2] AS v, ws[3] AS o, count(*) AS n FROM w WHERE len(ws) >= 3 GROUP BY ALL)"""
+places AS (SELECT ws, unnest(range(0, len(ws) // 3)) AS i FROM w),
+raw AS (SELECT ws[3 * i + 1] AS s, ws[3 * i + 2] AS v, ws[3 * i + 3] AS o, count(*) AS n FROM places GROUP BY ALL)"""
 ENDS = f"CASE WHEN upper({{0}}) = {{0}} AND lower({{0}}) <> {{0}} AND length({{0}}) > 1 THEN {{0}} ELSE {_norm('{0}').replace('{2,}', '{{2,}}')} END"
 VALID = r"length(trim({0})) >= 2 AND NOT regexp_matches(regexp_replace(trim({0}), '[.\-]', '', 'g'), '^[0-9]+$') AND regexp_matches(trim({0}), '[\p{{L}}\p{{N}}]')"
 NORMAL = LINES + f""", nt AS (SELECT s AS raw_s, v, o AS raw_o, n, {ENDS.format('s')} AS s, {ENDS.format('o')} AS o FROM raw WHERE {VALID.format('s')} AND {VALID.format('o')}),
@@ -69,10 +70,11 @@ fin AS (SELECT coalesce(a.singular, nt.s) AS s, nt.v, coalesce(b.singular, nt.o)
 
 
 def line_triples(spark, sf):
-    """First three words of every document line, counted."""
+    """Every three words of every document line, from its start on, counted."""
     words = F.split(F.trim("line"), " +")
     lines = view(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(words.alias("w")).where(F.size("w") >= 3)
-    return lines.groupBy(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate("svo")]).agg(F.count(F.lit(1)).alias("n"))
+    threes = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), lambda i: F.slice("w", 3 * i + 1, 3))
+    return lines.select(F.explode(threes).alias("w")).groupBy(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate("svo")]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("plural_merge__jn15", NORMAL + " SELECT entity, singular FROM pl")

@@ -14,6 +14,7 @@ from furrow.plans import ingestion as I
 from furrow.plans import keywords as KW
 from furrow.plans import market_report as MR
 from furrow.plans import news_model as NM
+from furrow.plans import past_news as PN
 from furrow.session import cut_lineage
 from furrow.suite import query
 from furrow.suite.news import FEATURE_SQL, NEWS_PX, rounded
@@ -63,21 +64,31 @@ def _(spark, sf):
 
 
 def _features(spark, sf):
-    news = view(spark, sf, "news").join(view(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
-    return NM.feature_rows(news, view(spark, sf, "px_daily"), dims=64, extra={"entity_mean": 1024, "triple_mean": 1024})
-
-
-@query("assembled_features__ml2", NEWS_PX + FEATURE_SQL + """, v AS (SELECT commodity, date, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM win JOIN embeddings e ON e.vec_id = win.vec_id), a AS (SELECT commodity, date, pos, avg(CAST(x AS DOUBLE)) AS m FROM v GROUP BY ALL), t AS (SELECT commodity, date, sum(m) AS total FROM a GROUP BY ALL)
-SELECT f.commodity, CAST(f.date AS STRING) AS date, 64 + 1024 + 1024 + 9 AS dimensions, round(t.total + coalesce(avg_price_impact, 0) + avg_positive + avg_negative + avg_neutral + impact_std + news_count + positive_count + negative_count + neutral_count, 4) AS total FROM feat f JOIN t ON t.commodity = f.commodity AND t.date = f.date""")
+    # The given vectors are 64 long. Every third article has no entity vector.
+    news, vectors = view(spark, sf, "news"), view(spark, sf, "embeddings")
+    stored = lambda name: vectors.select(F.col("vec_id").alias(f"at_{name}"), F.col("embedding").alias(name))
+    n = F.col("doc_id")
+    news = news.withColumns({"at_embedding": F.col("vec_id"), "at_triple_vector": (n * 7 + 2) % 500, "at_entity_vector": F.when(n % 3 > 0, (n * 3 + 1) % 500)})
+    for name in NM.VECTORS:
+        news = news.join(stored(name), f"at_{name}", "left")
+    return NM.feature_rows(news, view(spark, sf, "px_daily"), dict.fromkeys(NM.VECTORS, 64))
+
+
+@query("assembled_features__ml2", NEWS_PX + FEATURE_SQL.replace("JOIN news n ON", "JOIN news n ON n.filter_status = 'T' AND") + """, held AS (SELECT commodity, date, 0 AS part, vec_id AS k FROM win UNION ALL SELECT commodity, date, 1, (doc_id * 3 + 1) % 500 FROM win WHERE doc_id % 3 > 0 UNION ALL SELECT commodity, date, 2, (doc_id * 7 + 2) % 500 FROM win),
+v AS (SELECT commodity, date, part, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM held JOIN embeddings e ON e.vec_id = k), a AS (SELECT commodity, date, part, pos, avg(CAST(x AS DOUBLE)) AS m FROM v GROUP BY ALL),
+t AS (SELECT commodity, date, sum(m * (1 + part)) AS total, bool_or(part = 0) AS told FROM a GROUP BY ALL)
+SELECT f.commodity, CAST(f.date AS STRING) AS date, 3 * 64 + 9 AS dimensions, round(t.total + coalesce(avg_price_impact, 0) + avg_positive + avg_negative + avg_neutral + impact_std + news_count + positive_count + negative_count + neutral_count, 4) AS total FROM feat f JOIN t ON t.commodity = f.commodity AND t.date = f.date WHERE told""")
 def _(spark, sf):
-    total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
+    # Each vector has its own weight in the sum, so that their order shows.
+    total = lambda a, n: F.aggregate(F.slice("features", a, n), F.lit(0.0), lambda acc, x: acc + x)
+    total = total(1, 64) + 2 * total(65, 64) + 3 * total(129, 64) + total(193, 9)
     return day(_features(spark, sf).select("commodity", "date", F.size("features").alias("dimensions"), F.round(total, 4).alias("total")))
 
 
 def _voted(spark, sf):
     bars = view(spark, sf, "px_daily")
     rows = NM.training_rows(_features(spark, sf), bars)
-    models, scaled = NM.train(rows, max_iter=10)
+    models, scaled = NM.train(rows)
     return NM.predict(models, scaled)
 
 
@@ -94,13 +105,13 @@ def _(spark, sf):
 
 
 def _timeseries(spark, sf, start=None):
-    return FC.timeseries_features(view(spark, sf, "px_long"), NAMES, window=250, start=start)
+    return FC.timeseries_features(view(spark, sf, "px_long"), NAMES, start=start)
 
 
 @query("walk_forward_forecast__ml5")
 def _(spark, sf):
     series = FC.forecast_series(view(spark, sf, "px_long"), NAMES)
-    out = M.walk_forward_forecast(series, ["volume_lag", "ema_lag"], 250)
+    out = M.walk_forward_forecast(series, ["volume_lag", "ema_lag", *[f"{p}_close_lag" for p in NAMES.values()]], FC.WINDOW_ROWS)
     return day(out.select("commodity", "ds", "y", "y_next", F.round("yhat", 2).alias("yhat"), F.round("trend", 2).alias("trend")), "ds")
 
 
@@ -133,6 +144,32 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+PAST = NEWS_PX + r""", asked AS (SELECT DISTINCT commodity, date, 'vector ' || ((day(date) * 131 + place * 17 + length(commodity) * 7) % 600) AS triple_text FROM px_daily, range(1, 8) AS r(place)),
+e AS (SELECT vec_id, 'vector ' || vec_id AS triple_text, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT DISTINCT triple_text, e.v FROM asked JOIN e USING (triple_text)),
+near AS (SELECT q.triple_text, e.vec_id FROM q, e QUALIFY row_number() OVER (PARTITION BY q.triple_text ORDER BY round(1 - list_cosine_similarity(q.v, e.v), 9) + 0.0, e.vec_id) <= 2),
+h AS (SELECT DISTINCT commodity, date, vec_id FROM asked JOIN near USING (triple_text)),
+k AS (SELECT h.commodity, h.date, CAST(publish_ts AS DATE) AS publish_date, all_text AS article_text, substring(trim(regexp_replace(all_text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 50) AS text_prefix
+  FROM h JOIN news n ON n.vec_id = h.vec_id WHERE all_text <> '' AND CAST(publish_ts AS DATE) <= h.date - 4),
+u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY commodity, date, text_prefix ORDER BY publish_date DESC, article_text COLLATE "C" DESC) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY commodity, date ORDER BY publish_date DESC, article_text COLLATE "C") AS rank FROM u QUALIFY rank <= 10),
+b AS (SELECT commodity, date, close AS c0, lead(close, 1) OVER o AS c1, lead(close, 3) OVER o AS c3 FROM px_daily WINDOW o AS (PARTITION BY commodity ORDER BY date))
+SELECT r.commodity, CAST(r.date AS STRING) AS date, rank, CAST(publish_date AS STRING) AS publish_date, text_prefix, c0 AS price_0, c1 AS price_1, c3 AS price_3
+FROM r ASOF LEFT JOIN b ON b.commodity = r.commodity AND r.publish_date <= b.date"""
+
+
+@query("past_news_retrieval__jn7_jn9_jn4_top5_jn18", PAST)
+def _(spark, sf):
+    news, bars = view(spark, sf, "news"), view(spark, sf, "px_daily")
+    place = F.explode(F.sequence(F.lit(1), F.lit(9)))  # more than are looked up
+    number = (F.dayofmonth("date") * 131 + F.col("place") * 17 + F.length("commodity") * 7) % 600  # some are not stored
+    triples = bars.select("commodity", "date", place.alias("place")).withColumn("triple_text", F.concat(F.lit("vector "), number.cast("string")))
+    vectors = view(spark, sf, "embeddings").select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("triple_text"), F.col("vec_id").alias("hash_id"), "embedding")
+    bridge = news.select(F.col("vec_id").alias("hash_id"), F.col("id").alias("article_id"))
+    dated = news.select("id", F.to_date("publish_ts").alias("publish_date"), "all_text", F.col("title").alias("description"))
+    past = PN.past_news(triples, vectors, bridge, dated, bars)
+    return day(day(past.select("commodity", "date", "rank", "publish_date", "text_prefix", "price_0", "price_1", "price_3")), "publish_date")
+
+
 @query("market_records__ml8")
 def _(spark, sf):
     news, bars = view(spark, sf, "news"), view(spark, sf, "px_daily")

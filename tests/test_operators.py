@@ -22,6 +22,7 @@ from furrow.operators import sets as S
 from furrow.operators import similarity as SIM
 from furrow.operators import topk as K
 from furrow.operators import windows as W
+from furrow.plans import ingestion as I
 
 D0 = dt.date(2024, 1, 1)
 
@@ -410,3 +411,17 @@ def test_unsettled_ranks_raise(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (1, 3, 0.5)], "src INT, dst INT, weight DOUBLE")
     with pytest.raises(RuntimeError):
         G.pagerank(edges, max_rounds=2, tol=1e-14)
+
+
+def test_reason_of_a_vote(spark):
+    rows = [(1, 0, 1), (0, 0, 2), (1, 1, 2), (1, 0, 0)]
+    df = spark.createDataFrame(rows, "u INT, d INT, t INT").withColumns(D.vote(F.col("u"), F.col("d"), F.col("t")))
+    got = {(r["u"], r["d"], r["t"]): r["vote_reason"] for r in df.collect()}
+    assert got == {(1, 0, 1): D.VOTE_REASONS["rise only, 1"], (0, 0, 2): D.VOTE_REASONS["neither, 2"],
+                   (1, 1, 2): D.VOTE_REASONS["both, 2"], (1, 0, 0): D.OTHER_REASON}
+
+
+def test_rule_triples_cover_the_sentence(spark):
+    df = spark.createDataFrame([("Corn prices rise while Brazil exports fall again. Too short", ), (None,)], "all_text STRING")
+    got = [r["triples"] for r in I.extract_by_rule(df).collect()]
+    assert got == [[["Corn", "prices", "rise"], ["while", "Brazil", "exports"]], []]
