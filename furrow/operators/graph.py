@@ -26,6 +26,8 @@ PRICE_DEMAND_DESCRIPTIONS = [
     "prices rise, prices fall, value increased, value decreased",
     "market arrivals, oversupply, shortage, supply reduced, imported by, demand",
 ]
+STANCE_TERMS = [t for d in STANCE_DESCRIPTIONS for t in d.split(", ")]
+PRICE_DEMAND_TERMS = [t for d in PRICE_DEMAND_DESCRIPTIONS for t in d.split(", ")]
 SIMILARITY_THRESHOLD, TRIPLE_THRESHOLD = 0.65, 0.68
 
 

@@ -23,6 +23,7 @@ from furrow.operators import similarity as SIM
 from furrow.operators import topk as K
 from furrow.operators import windows as W
 from furrow.plans import ingestion as I
+from furrow.plans import keywords as KW
 
 D0 = dt.date(2024, 1, 1)
 
@@ -425,3 +426,10 @@ def test_rule_triples_cover_the_sentence(spark):
     df = spark.createDataFrame([("Corn prices rise while Brazil exports fall again. Too short", ), (None,)], "all_text STRING")
     got = [r["triples"] for r in I.extract_by_rule(df).collect()]
     assert got == [[["Corn", "prices", "rise"], ["while", "Brazil", "exports"]], []]
+
+
+def test_verbs_fit_the_terms_of_their_class(spark):
+    df = spark.createDataFrame([("warns",), ("banned",), ("prices rise",), ("walks",), ("cutlery",), (None,)], "v STRING")
+    got = {r["v"]: (r["stance"], r["price_demand"]) for r in KW.verb_classes(df).collect()}
+    assert got["warns"] == (True, False) and got["prices rise"] == (False, True)
+    assert got["walks"] == got["cutlery"] == (False, False) and len(got) == 5
