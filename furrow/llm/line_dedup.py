@@ -7,11 +7,12 @@ packed in bulk for each shard, to the arrays; a line is dropped if its fingerpri
 it. Lines that are found once have no slot: the fingerprint rejects them. Neither lines nor texts are joined with lines.
 
 Counts are summed within every batch before anything is shuffled, so a line that a third of all documents share is a
-row per batch in its shard. Probes of a hot shard are split by adaptive execution as the skewed side of a plain join.
+row per batch in its shard. Probes lie behind the arrays of their shard in one sorted partition: the arrays are read once
+and all probes stream by. A shard with many probes is split, each part with the arrays of its own.
 
 Null and empty texts are one empty line. Texts are taken whole. Rows of one id are one document: none of its lines makes
-another of them go. Documents without an id count as one that comes last. An empty table gives an empty one. Columns
-of the input are carried; one with the name of a result column is replaced.
+another of them go. Documents without an id count as one that comes last; what they lose is listed by text. An empty
+table gives an empty one. Columns of the input are carried; one with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import with_results
+from furrow.llm.common import row_total, with_results
 from furrow.session import cut_lineage
 
 #: Code points of a key from which on it counts.
 LEAST = 10
 #: Text bytes of a shard: this fixes how much of the index a task holds.
 SHARD_BYTES = 16 << 20
+#: Probes (24 bytes each) of a shard that meet one copy of its arrays.
+SPLIT = 1 << 17
+#: Split shards whose numbers (some ten bytes each) are sent to every task; more are joined by shuffle.
+SENT_SHARDS = 200_000
 #: Bits of the perfect hash's first level for each key.
 GAMMA = 2.0
 LAST_ID = np.iinfo(np.int64).max
@@ -100,17 +105,16 @@ class PerfectHash:
 # --- jobs -----------------------------------------------------------------------------------------------------------
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _packed(shard: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
-    """Entries as one binary value for each shard."""
-    order = np.argsort(shard, kind="stable")
-    shard, entries = shard[order], entries[order]
-    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+def _packed(shard: np.ndarray, last: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """Entries as one binary value for each shard, those of documents without an id (`last`) apart."""
+    code = shard.astype(np.int64) * 2 + last
+    order = np.argsort(code, kind="stable")
+    code, entries = code[order], entries[order]
+    edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
     parts = [entries[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int32()), pa.array(parts, pa.binary())], ["shard", "entries"])
+    first = code[edges[:-1]]
+    return pa.RecordBatch.from_arrays([pa.array(first >> 1, pa.int32()), pa.array((first & 1).astype(bool)), pa.array(parts, pa.binary())],
+                                      ["shard", "last", "entries"])
 
 
 def summed(entries: np.ndarray) -> np.ndarray:
@@ -125,37 +129,46 @@ def summed(entries: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, last, text): documents without an id (`last`) are named by their text."""
+    number = F.col(doc_id).cast("long")
+    return docs.select(F.coalesce(number, F.xxhash64(text)).alias("id"), number.isNull().alias("last"), F.col(text).alias("text"))
+
+
 def _line_hashes(rows: DataFrame, shards: int, probes: bool) -> DataFrame:
-    """(shard, entries) of (id, text) rows, packed by batch: counted keys, or the keys of each document."""
+    """(shard, last, entries) of rows as in `_rows`, packed by batch: counted keys, or the keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, keys = _ids(batch.column(0)), [], []
-            for text in batch.column(1).to_pylist():
+            ids, last = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sizes, keys = [], []
+            for text in batch.column(2).to_pylist():
                 own = set(keys_of(text or ""))
                 own.discard(b"")
                 sizes.append(len(own))
                 keys += own
-            found, doc = hashes(keys), np.repeat(ids, sizes)
+            found = hashes(keys)
             entries = np.empty(len(found), PROBE if probes else FOUND)
             entries["h"], entries["fp"] = found["h"], found["fp"]
             if probes:
-                entries["doc"] = doc
+                entries["doc"], apart = np.repeat(ids, sizes), np.repeat(last, sizes)
             else:
-                entries["n"], entries["owner"] = 1, doc
+                entries["n"], entries["owner"] = 1, np.repeat(np.where(last, LAST_ID, ids), sizes)
                 entries = summed(entries)
-            yield _packed((entries["h"] % np.uint64(shards)).astype(np.int32), entries)
+                apart = np.zeros(len(entries), bool)
+            yield _packed((entries["h"] % np.uint64(shards)).astype(np.int32), apart, entries)
 
-    return rows.mapInArrow(run, "shard int, entries binary")
+    return rows.mapInArrow(run, "shard int, last boolean, entries binary")
 
 
-INDEX = "shard int, sizes binary, bits binary, fingerprints binary, counts binary, owners binary, others binary"
+INDEX = "shard int, probes long, sizes binary, bits binary, fingerprints binary, counts binary, owners binary, others binary"
 
 
 def _index(table: pa.Table) -> pa.Table:
     """Arrays of one shard. Keys that share the first half with another one (`others`) are kept aside."""
     entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), FOUND)
     entries = summed(entries)
+    probes = int(entries["n"].sum(dtype=np.int64))
     entries = entries[entries["n"] >= 2]
     again = np.concatenate([[False], entries["h"][1:] == entries["h"][:-1]])[:len(entries)]
     others, entries = entries[again], entries[~again]
@@ -163,7 +176,7 @@ def _index(table: pa.Table) -> pa.Table:
     ordered = np.empty_like(entries)
     ordered[hashed.find(entries["h"])] = entries
     parts = [hashed.sizes, hashed.bits, ordered["fp"], ordered["n"], ordered["owner"], others]
-    return pa.table({"shard": table.column("shard")[:1], **{n: pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for n, p in zip(
+    return pa.table({"shard": table.column("shard")[:1], "probes": pa.array([probes], pa.int64()), **{n: pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for n, p in zip(
         ("sizes", "bits", "fingerprints", "counts", "owners", "others"), parts)}})
 
 
@@ -175,48 +188,57 @@ class Shard:
         self.fingerprints, self.counts = np.frombuffer(row["fingerprints"], "<u8"), np.frombuffer(row["counts"], "<u4")
         self.owners, self.others = np.frombuffer(row["owners"], "<i8"), np.frombuffer(row["others"], FOUND)
 
-    def repeats(self, probes: np.ndarray) -> np.ndarray:
+    def repeats(self, probes: np.ndarray, last: bool = False) -> np.ndarray:
         """Whether another, smaller document holds the probe's line."""
+        doc = np.full(len(probes), LAST_ID) if last else probes["doc"]
         at = self.hash.find(probes["h"])
         found = np.zeros(len(probes), bool)
         some = np.flatnonzero(at >= 0)
         slot = at[some]
-        found[some] = (self.fingerprints[slot] == probes["fp"][some]) & (self.counts[slot] >= 2) & (self.owners[slot] < probes["doc"][some])
+        found[some] = (self.fingerprints[slot] == probes["fp"][some]) & (self.counts[slot] >= 2) & (self.owners[slot] < doc[some])
         for other in self.others:
-            found |= (probes["h"] == other["h"]) & (probes["fp"] == other["fp"]) & (other["owner"] < probes["doc"])
+            found |= (probes["h"] == other["h"]) & (probes["fp"] == other["fp"]) & (other["owner"] < doc)
         return found
 
 
 def shard_index(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each shard with its perfect hash and arrays."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return _line_hashes(rows, shards, False).groupBy("shard").applyInArrow(_index, INDEX)
-
-
-def repeated_lines(docs: DataFrame, index: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, drops): hashes of the lines that a document loses, in one or more rows for each document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    probes = _line_hashes(rows, shards, True).join(index, "shard")
+    """A row for each shard with its number of probes, its perfect hash and its arrays."""
+    return _line_hashes(_rows(docs, doc_id, text), shards, False).select("shard", "entries").groupBy("shard").applyInArrow(_index, INDEX)
+
+
+def repeated_lines(docs: DataFrame, index: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
+    """(doc, last, drops): hashes of the lines that a document loses, in one or more rows for each document."""
+    parts = (1 + F.floor(F.col("probes") / split)).cast("long")
+    many = index.where(F.col("probes") >= split).select("shard", parts.alias("parts"))
+    if row_total(many) <= SENT_SHARDS:
+        many = F.broadcast(many)
+    probes = _line_hashes(_rows(docs, doc_id, text), shards, True).join(many, "shard", "left").withColumn(
+        "part", F.pmod(F.xxhash64("entries"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    arrays = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("probes")
+    # An index row comes before the probes that it answers.
+    both = probes.unionByName(arrays, allowMissingColumns=True).withColumn("probing", F.col("entries").isNotNull())
+    met = both.repartition("shard", "part").sortWithinPartitions("shard", "part", "probing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, arrays = None, None
+        arrays = None
         for batch in batches:
+            probing, last = batch.column("probing").to_pylist(), batch.column("last").to_pylist()
             for at in range(batch.num_rows):
-                number = batch.column("shard")[at].as_py()
-                if number != held:
-                    held = number
-                    arrays = Shard({c: batch.column(c)[at].as_py() for c in batch.schema.names})
+                if not probing[at]:
+                    arrays = Shard({c: batch.column(c)[at].as_py() for c in ("sizes", "bits", "fingerprints", "counts", "owners", "others")})
+                    continue
                 found = np.frombuffer(batch.column("entries")[at].as_py(), PROBE)
-                found = found[arrays.repeats(found)]
+                found = found[arrays.repeats(found, last[at])]
                 found = found[np.argsort(found["doc"], kind="stable")]
                 doc = found["doc"]
                 edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
                 drops = np.empty(len(found), DROP)
                 drops["h"], drops["fp"] = found["h"], found["fp"]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]], pa.int64()), pa.array(
-                    [drops[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["doc", "drops"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(doc[edges[:-1]], pa.int64()), pa.array([last[at]] * (len(edges) - 1), pa.bool_()),
+                    pa.array([drops[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["doc", "last", "drops"])
 
-    return probes.mapInArrow(run, "doc long, drops binary")
+    return met.mapInArrow(run, "doc long, last boolean, drops binary")
 
 
 def kept_lines(text: str, drops: list[bytes] | None) -> tuple[str, int, int]:
@@ -231,14 +253,16 @@ def kept_lines(text: str, drops: list[bytes] | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
     """`docs` with kept_text, n_lines (before) and n_dropped."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
     index = cut_lineage(shard_index(docs, shards, doc_id, text))
-    lists = repeated_lines(docs, index, shards, doc_id, text).groupBy("doc").agg(F.collect_list("drops").alias("__drops"))
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST_ID)))
-    joined = docs.join(lists, key == F.col("doc"), "left").drop("doc")
+    lists = repeated_lines(docs, index, shards, doc_id, text, split).groupBy("doc", "last").agg(F.collect_list("drops").alias("__drops"))
+    lists = lists.select(F.col("doc").alias("__doc"), F.col("last").alias("__last"), "__drops")
+    number = F.col(doc_id).cast("long")
+    same = (F.coalesce(number, F.xxhash64(text)) == F.col("__doc")) & (number.isNull() == F.col("__last"))
+    joined = docs.join(lists, same, "left").drop("__doc", "__last")
     return with_results(joined, F.struct(F.col(text).alias("text"), F.col("__drops").alias("drops")),
                         {"kept_text": "string", "n_lines": "bigint", "n_dropped": "bigint"},
                         lambda rows: [kept_lines(r["text"] or "", r["drops"]) for r in rows]).drop("__drops")

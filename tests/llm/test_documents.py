@@ -201,7 +201,8 @@ def test_best_fit_equals_brute_force():
         assert len(set(packing.best_fit(sizes, 64)[0].tolist())) == len(expected)
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("split", [3, line_dedup.SPLIT])
+def test_line_dedup(docs, empty, split):
     held, texts = defaultdict(set), [(r[0], r[1] or "") for r in sample_rows()]
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(lower)
@@ -214,7 +215,7 @@ def test_line_dedup(docs, empty):
         lines = t.split("\n")
         kept = [x for x in lines if len(key(x)) < 10 or min(held[key(x)]) == (last if i is None else i)]
         expected.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
-    rows = line_dedup.deduplicated(docs)
+    rows = line_dedup.deduplicated(docs, split=split)
     assert rows_of(rows, "doc_id", "kept_text", "n_lines", "n_dropped") == sorted(expected, key=repr)
     assert any(x[3] for x in expected) and line_dedup.deduplicated(empty).count() == 0
 
