@@ -177,17 +177,15 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     size = BUCKETS + CLASSES * (STATISTICS + len(metadata))
 
     def learn(table: pa.Table) -> pa.Table:
-        found = {}
-        for i, y, a, v in zip(*(table.column(c).to_pylist() for c in ("id", "label", "at", "value"))):
-            if i not in found or (a, v) < found[i][1:]:
-                found[i] = (y, a, v)
-        ordered = [found[i] for i in sorted(found)]
-        model = fit([(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for _, a, v in ordered],
-                    np.array([y for y, _, _ in ordered], np.float64), size)
+        ordered = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "label", "at", "value"))))
+        model = fit([(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for _, _, a, v in ordered],
+                    np.array([y for _, y, _, _ in ordered], np.float64), size)
         return pa.table({"model": pa.array([model.packed()], pa.binary())})
 
     made = joined.mapInArrow(vectors, f"id {kinds}, label int, at binary, value binary")
-    found = made.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(learn, "model binary").collect()
+    # Of repeated documents one stays before the rows meet in a task: at most `sample`.
+    once = made.groupBy("id").agg(F.min(F.struct("label", "at", "value")).alias("one")).select("id", "one.*")
+    found = once.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(learn, "model binary").collect()
     return bytes(found[0]["model"]) if found else fit([], np.zeros(0), size).packed()
 
 
