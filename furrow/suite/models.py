@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.operators import aggregates as A
-from furrow.operators import joins as J
 from furrow.operators import models as M
-from furrow.operators import topk as K
 from furrow.operators import windows as W
 from furrow.plans import forecasts as FC
 from furrow.plans import ingestion as I
@@ -161,8 +159,7 @@ SELECT r.commodity, CAST(r.date AS STRING) AS date, rank, CAST(publish_date AS S
 FROM r ASOF LEFT JOIN b ON b.commodity = r.commodity AND r.publish_date <= b.date"""
 
 
-@query("past_news_retrieval__jn7_jn9_jn4_top5_jn18", PAST)
-def _(spark, sf):
+def _past_news(spark, sf):
     news, bars = view(spark, sf, "news"), view(spark, sf, "px_daily")
     place = F.explode(F.sequence(F.lit(1), F.lit(9)))  # more than are looked up
     number = (F.dayofmonth("date") * 131 + F.col("place") * 17 + F.length("commodity") * 7) % 600  # some are not stored
@@ -170,7 +167,12 @@ def _(spark, sf):
     vectors = view(spark, sf, "embeddings").select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("triple_text"), F.col("vec_id").alias("hash_id"), "embedding")
     bridge = news.select(F.col("vec_id").alias("hash_id"), F.col("id").alias("article_id"))
     dated = news.select("id", F.to_date("publish_ts").alias("publish_date"), "all_text", F.col("title").alias("description"))
-    past = PN.past_news(triples, vectors, bridge, dated, bars)
+    return PN.past_news(triples, vectors, bridge, dated, bars)
+
+
+@query("past_news_retrieval__jn7_jn9_jn4_top5_jn18", PAST)
+def _(spark, sf):
+    past = _past_news(spark, sf)
     return day(day(past.select("commodity", "date", "rank", "publish_date", "text_prefix", "price_0", "price_1", "price_3")), "publish_date")
 
 
@@ -178,11 +180,9 @@ def _(spark, sf):
 def _(spark, sf):
     news, bars = view(spark, sf, "news"), view(spark, sf, "px_daily")
     reports = MR.prediction_reports(_voted(spark, sf), news, bars)
-    dated = news.select("commodity", F.to_date("publish_ts").alias("publish_date"), "all_text", F.col("title").alias("description"))
-    past = K.past_news(dated, ["commodity"])
-    past = J.attach_reaction(past, J.price_reaction(bars, past.withColumnRenamed("publish_date", "base_date")))
     forecasts = view(spark, sf, "forecasts").select(
         "commodity", "target_date", F.when(F.col("direction") == 1, "Up").otherwise("Down").alias("forecast_direction"), F.lit(50.0).alias("confidence_score"), F.col("forecast_price").alias("yhat"))
-    entities = KW.analyse(_extracted(spark, sf), "2024-01-20", days=20, with_triples=False).entities
-    records = MR.market_records(forecasts, reports, entities, past)
+    target = "2024-01-20"
+    entities = KW.analyse(_extracted(spark, sf), target, days=20, with_triples=False).entities
+    records = MR.market_records(forecasts, reports, entities.withColumn("date", F.lit(target).cast("date")), _past_news(spark, sf))
     return day(records.select("commodity", "date", F.to_json(F.struct("timeseries", "news", "keywords", "past_news")).alias("record")))

@@ -24,6 +24,7 @@ from furrow.operators import topk as K
 from furrow.operators import windows as W
 from furrow.plans import ingestion as I
 from furrow.plans import keywords as KW
+from furrow.plans import market_report as MR
 
 D0 = dt.date(2024, 1, 1)
 
@@ -373,6 +374,23 @@ def test_past_news_dedups_by_prefix_and_limits(spark):
     assert len(got) == 10 and got[0]["all_text"].endswith("2") and sum(r["all_text"].startswith("word") for r in got) == 1
 
 
+def test_market_record_holds_nothing_newer_than_its_date(spark):
+    days = [D0 + dt.timedelta(days=i) for i in range(3)]
+    frame = spark.createDataFrame
+    quant = frame([("corn", d, "Up", 50.0, 1.0) for d in days], "commodity STRING, target_date DATE, forecast_direction STRING, confidence_score DOUBLE, yhat DOUBLE")
+    reports = frame([("corn", days[1], "a", "b", "c", "d"), ("oil", days[2], "a", "b", "c", "d")],
+                    "commodity STRING, date DATE, prediction STRING, model_consensus STRING, evidence STRING, market_analysis STRING")
+    words = frame([("corn", days[2], 2, "soy", 0.1), ("corn", days[2], 1, "rain", 0.2), ("oil", days[2], 1, "rig", 0.3)], "commodity STRING, date DATE, place INT, entity STRING, score DOUBLE")
+    past = frame([("corn", d, 1, d - dt.timedelta(days=4), f"news {d}", 1.0, 2.0, 3.0) for d in days[1:]],
+                 "commodity STRING, date DATE, rank INT, publish_date DATE, article_text STRING, price_0 DOUBLE, price_1 DOUBLE, price_3 DOUBLE")
+    got = {(r["commodity"], r["date"]): r for r in MR.market_records(quant, reports, words, past).collect()}
+    assert set(got) == {*(("corn", d) for d in days), ("oil", days[2])}
+    assert [k for k, r in got.items() if r["keywords"]] and all(k[1] == days[2] for k, r in got.items() if r["keywords"])
+    assert [w["entity"] for w in got["corn", days[2]]["keywords"]] == ["rain", "soy"] and got["oil", days[2]]["past_news"] is None
+    assert all(p["publish_date"] <= k[1] - dt.timedelta(days=4) for k, r in got.items() for p in r["past_news"] or [])
+    assert got["corn", days[0]]["past_news"] is None and got["corn", days[1]]["past_news"][0]["article_text"] == f"news {days[1]}"
+
+
 def test_codes_with_digits_and_dots_stay(spark):
     df = spark.createDataFrame([("H5N1",), ("U.S.",), ("USDA",), ("Corn Prices",), ("1234",), ("EU27X",)], "e STRING")
     got = {r.e: r.n for r in df.select("e", TX.normalise_entity(F.col("e")).alias("n")).collect()}
