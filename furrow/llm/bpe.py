@@ -7,6 +7,9 @@ of the array at once. Where a piece begins follows from the states of neighbouri
 runs. The slices between boundaries go through a cache; those not in it are merged together, all at once, pair by pair
 in rank order.
 
+The strings of a JSON file's added tokens are cut out of a text before it is laid out, and stand for their ids; the parts
+between them are texts of their own. A rank file has no added tokens.
+
 Null is the empty text, which has no ids. Texts of any length are taken whole. Repeated rows give equal results, an
 empty table gives an empty one. Columns of the input other than the text are left alone; one with the name of a result
 column is replaced.
@@ -18,6 +21,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -170,9 +174,11 @@ OPENS = _opens()
 class Encoder:
     """Ranks of a byte-level vocabulary with the cache of one Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.vocabulary = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int] | None = None):
+        self.added = dict(added or {})
+        named = ranks | {token.encode(): i for token, i in self.added.items()}
+        self.vocabulary = [b""] * (max(named.values()) + 1)
+        for piece, rank in named.items():
             self.vocabulary[rank] = piece
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         # Every way to cut a piece into two others is a pair that merges to it.
@@ -309,7 +315,15 @@ class Encoder:
 
     def encode(self, docs: list[str]):
         """The ids of each text, in order."""
-        return self._spans(docs)
+        if not self.added:
+            yield from self._spans(docs)
+            return
+        # The longest token first where one begins with another.
+        tokens = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        split = [tokens.split(d) for d in docs]  # ordinary parts at even places, tokens at odd ones
+        made = self._spans([part for parts in split for part in parts[::2]])
+        for parts in split:
+            yield np.concatenate([np.array([self.added[part]], np.uint32) if at % 2 else next(made) for at, part in enumerate(parts)])
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each id's bytes begin in the decoded bytes, and their end."""
@@ -336,13 +350,13 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(2)
 def _load(path: str) -> Encoder:
-    """A rank file, or the vocabulary of a JSON file without its special tokens, whose strings are ordinary text here."""
+    """A rank file, or the vocabulary of a JSON file with its added tokens."""
     with open(path, "rb") as file:
         if not path.endswith(".json"):
             return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
         found, letters = json.load(file), byte_letters()
-    special = {t["content"] for t in found["added_tokens"]}
-    return Encoder({bytes(letters[c] for c in piece): i for piece, i in found["model"]["vocab"].items() if piece not in special})
+    added = {t["content"]: t["id"] for t in found["added_tokens"]}
+    return Encoder({bytes(letters[c] for c in piece): i for piece, i in found["model"]["vocab"].items() if piece not in added}, added)
 
 
 # --- columns --------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ capacities counts the open sequences, so the tightest is found in logarithmic ti
 sequences half full among tens of thousands.
 
 Null texts are empty: their only id is the end id. Ids may be null or repeat: each row is packed for itself. Texts are
-taken whole; special tokens' strings in a text are ordinary text. An empty table gives an empty one. The result has the
+taken whole; added tokens' strings in a text stand for their ids. An empty table gives an empty one. The result has the
 columns named below and no others of the input.
 """
 
