@@ -125,7 +125,7 @@ def _(spark, sf):
 def _directions(spark, sf):
     features = cut_lineage(_timeseries(spark, sf))
     last = features.groupBy("ds").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").agg(F.max("ds")).first()[0]
-    return FC.predict_direction(features, str(last), list(NAMES), window=600, min_rows=100, trees=5, depth=4)
+    return FC.predict_direction(features, str(last), list(NAMES))
 
 
 @query("boosted_direction__ml6")
