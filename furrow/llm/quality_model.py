@@ -189,6 +189,11 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     return bytes(found[0]["model"]) if found else fit([], np.zeros(0), size).packed()
 
 
+def learnt(model: bytes) -> bool:
+    """Whether the model comes from rows of both labels: otherwise its scores do not depend on the text."""
+    return bool(Model.unpacked(model).factors.any())
+
+
 def scored(docs: DataFrame, model: bytes, text: str = "text", metadata: tuple[str, ...] = ("n_chars",), accepted: float = ACCEPTED) -> DataFrame:
     """`docs` with score (0 to 1) and predicted (1 from `accepted` on)."""
 
