@@ -1,7 +1,7 @@
 """Best-fit-decreasing packing of tokenised documents into sequences of fixed length.
 
 Documents become ids with an end id behind them. Longer ones than a sequence are cut into whole sequences, a shorter
-rest coming first. Pieces are dealt by hash into groups of bounded size; in each group they are placed from the longest
+rest coming first. Pieces are dealt by hash, also of their row, into groups of bounded size; in each group they are placed from the longest
 to the shortest, each into the open sequence with the least room that still fits. A segment tree over the remaining
 capacities counts the open sequences, so the tightest is found in logarithmic time. A group leaves at most a few
 sequences half full among tens of thousands.
@@ -111,9 +111,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text",
            group: int = GROUP) -> DataFrame:
     """The pieces with `sequence_id` and `offset`: offsets of a sequence run from 0 without gaps."""
-    made = cut_lineage(pieces(docs, path, capacity, end_id, doc_id, text))
+    # The row number is written with the pieces, so it stays the same however often they are read.
+    made = cut_lineage(pieces(docs, path, capacity, end_id, doc_id, text).withColumn("__row", F.monotonically_increasing_id()))
     groups = max(1, -(-row_total(made) // group))
-    dealt = made.withColumn("__group", F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32", "length"), F.lit(groups)))
+    dealt = made.withColumn("__group", F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32", "length", "__row"), F.lit(groups))).drop("__row")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(doc_id, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -122,5 +123,5 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         return table.drop_columns(["__group"]).append_column("sequence_id", pa.array(bins * groups + which)).append_column(
             "offset", pa.array(offsets))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.drop("__row").schema)
     return dealt.groupBy("__group").applyInArrow(run, f"{kinds}, sequence_id long, offset long")

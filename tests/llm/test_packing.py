@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -28,3 +29,11 @@ def test_packed_pieces_hold_added_tokens(spark):
         pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
         assert sum(p.length for p in pieces) == len(ids)
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start:p.start + p.length].tobytes()) for p in pieces)
+
+
+def test_identical_rows_are_packed_in_groups_of_bounded_size(spark):
+    rows = [(7, "the same text")] * 400 + [(None, "the same text")] * 400 + [(i, f"text {i}") for i in range(1000, 1400)]
+    made = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), queries.VOCABULARY, group=100)
+    assert made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    groups = Counter(r.sequence_id % 12 for r in made.collect())
+    assert sum(groups.values()) == 1200 and max(groups.values()) < 160
