@@ -253,12 +253,19 @@ def kept_lines(text: str, drops: list[bytes] | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
+def drop_lists(found: DataFrame) -> DataFrame:
+    """(doc, last, __drops): each hash once, so that rows which repeat an id do not lengthen the list that all of them get."""
+    each = F.expr(f"transform(sequence(0, length(drops) div {DROP.itemsize} - 1), i -> substring(drops, i * {DROP.itemsize} + 1, {DROP.itemsize}))")
+    once = found.select("doc", "last", F.explode(each).alias("drop")).distinct()
+    return once.groupBy("doc", "last").agg(F.collect_list("drop").alias("__drops"))
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
     """`docs` with kept_text, n_lines (before) and n_dropped."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
     index = cut_lineage(shard_index(docs, shards, doc_id, text))
-    lists = repeated_lines(docs, index, shards, doc_id, text, split).groupBy("doc", "last").agg(F.collect_list("drops").alias("__drops"))
+    lists = drop_lists(repeated_lines(docs, index, shards, doc_id, text, split))
     lists = lists.select(F.col("doc").alias("__doc"), F.col("last").alias("__last"), "__drops")
     number = F.col(doc_id).cast("long")
     same = (F.coalesce(number, F.xxhash64(text)) == F.col("__doc")) & (number.isNull() == F.col("__last"))
