@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: The six characters that end a word.
 WHITE = b"\t\n\x0b\x0c\r "
@@ -50,16 +53,34 @@ def row_total(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one where `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of equally long vectors, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(column) and len(flat) % len(column):
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(column), -1)
+
+
 def with_results(df: DataFrame, column: str | Column, names: dict[str, str], work: Callable[[list], Sequence[tuple]]) -> DataFrame:
     """`df` with a column for each name (and type) from `work`: values of `column`, in Arrow batches, to rows of results.
 
     Only that column goes to Python. The function runs once for each row, however many of its results are used.
     """
-    fields = pa.schema([(n, ARROW[t]) for n, t in names.items()])
+    fields = pa.schema([(n, ARROW.get(t) or to_arrow_type(DataType.fromDDL(t))) for n, t in names.items()])
 
     def run(values: pa.Array) -> pa.Array:
         parts = list(zip(*work(values.to_pylist()))) or [()] * len(fields)
         return pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, fields)], fields.names)
 
     made = F.arrow_udf(run, "struct<" + ",".join(f"`{n}`:{t}" for n, t in names.items()) + ">").asNondeterministic()
-    return df.withColumn("__results", made(F.col(column) if isinstance(column, str) else column)).withColumns({n: F.col(f"__results.{n}") for n in names}).drop("__results")
+    held = unused(df, "__results")
+    parts = {n: F.col(f"{held}.{n}") for n in names}
+    return df.withColumn(held, made(F.col(column) if isinstance(column, str) else column)).withColumns(parts).drop(held)

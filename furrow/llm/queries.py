@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from furrow.llm import (
-    bpe, line_dedup, near_copies, neighbours, packing, quality_model, quality_rules, sharding, token_counts, url_filters,
+    bpe, hard_negatives, line_dedup, near_copies, near_vectors, neighbours, packing, periodic_runs, quality_model, quality_rules, sharding,
+    token_counts, url_filters,
 )
-from furrow.llm.common import read, small_batches
+from furrow.llm.common import read, small_batches, with_results, words
 from furrow.session import cut_lineage, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,4 +171,110 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+REAL = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_hard_negatives", f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {REAL}),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT ar, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, pr ORDER BY score DESC, vec_id, r) AS rank,
+             vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.ar = p.ar AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query("op12_embedding_near_dedup", f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v,
+    label IS NOT NULL AND coalesce({REAL} AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS able FROM embeddings),
+links AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.label = b.label AND a.r <> b.r WHERE a.able AND b.able
+          AND list_cosine_similarity(a.v, b.v) >= {near_vectors.SIMILAR}),
+reach AS (SELECT r, r AS other FROM e UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = other GROUP BY reach.r),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM e JOIN least USING (r) LEFT JOIN counts USING (r)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.deduplicated(read(spark, sf_dir, "embeddings"))
+
+
+def _repeating(rows: list) -> list[tuple]:
+    """Texts whose words from some place on go round; the place and the period follow from a number."""
+    out = []
+    for row in rows:
+        said = words(row["text"] or "") if row else []
+        if said:
+            n, g = len(said), row["g"]
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            said = said[:a] + [said[a + (i - a) % p] for i in range(a, n)]
+        out.append((b" ".join(said).decode() if said else None,))
+    return out
+
+
+#: Window lengths of the SQL form: each holds runs whose period it does not fall short of.
+SPANS = [1 << k for k in range(4, 18)]
+
+
+def _spans_sql() -> str:
+    """Tables w1, w2, w4 ... of window hashes, each of two of the one before, and s16 ... of the next equal window."""
+    parts = ["w1 AS (SELECT rid, i, word AS h FROM e)"]
+    for m in (1 << k for k in range(1, 18)):
+        parts.append(f"w{m} AS MATERIALIZED (SELECT rid, i, md5(h || chr(10) || lead(h, {m // 2}) OVER o) AS h FROM w{m // 2} WINDOW o AS (PARTITION BY rid ORDER BY i) "
+                     f"QUALIFY lead(h, {m // 2}) OVER o IS NOT NULL)")
+    for m in SPANS:
+        parts.append(f"s{m} AS (SELECT rid, i, {m} AS m, lead(i) OVER (PARTITION BY rid, h ORDER BY i) - i AS q FROM w{m} QUALIFY q <= {m})")
+    return ",\n".join(parts)
+
+
+def _islands_sql() -> str:
+    """Stretches in which every window's next equal one is `q` words on."""
+    each = " UNION ALL ".join(f"SELECT * FROM s{m}" for m in SPANS)
+    return f"SELECT rid, m, q, i, i - row_number() OVER (PARTITION BY rid, m, q ORDER BY i) AS island FROM ({each})"
+
+
+@query("op13_periodic_runs", rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)) AS bytes FROM documents),
+c AS (SELECT rid, doc_id, w, len(w) AS n, xor(list_reduce(bytes, lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+    lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h FROM t),
+g AS (SELECT *, coalesce(h % 10 = 0 AND n > 0, false) AS going, (h // 10) % n AS a, h // 10 AS g FROM c),
+d AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+e AS MATERIALIZED (SELECT rid, i, CASE WHEN going AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word
+                   FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+{_spans_sql()},
+found AS MATERIALIZED (SELECT DISTINCT rid, start, length, q AS period FROM (
+    SELECT rid, q, min(i) AS start, max(i) + m + q - min(i) AS length FROM ({_islands_sql()}) GROUP BY rid, m, q, island)
+    WHERE length >= greatest(24, 3 * q)),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length / period::DOUBLE DESC, start, period) = 1),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM found GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM found),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM e ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM c LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    number = F.floor(h / 10).cast("long")
+    asked = F.when(h % 10 == 0, F.struct(number.alias("g"), "text"))
+    rows = with_results(docs, asked, {"repeating": "string"}, _repeating).select("doc_id", F.coalesce("repeating", "text").alias("text"))
+    found = periodic_runs.with_runs(rows).select("doc_id", "runs", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    # Exact ratios: a run is better if its length times the other's period is larger. Runs come by start, then period.
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    found = found.withColumns({"n_runs": F.size("runs").cast("long"), "best": best, "runs_sha256": F.sha2(F.array_join(F.transform("runs", line), ""), 256)})
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
