@@ -166,15 +166,32 @@ def _decoded(vectors: DataFrame, words: int, held: int, wide: int, hot: list[tup
         run, f"key long, label long, weight long, vector {kind}, ball int, spots array<bigint>")
 
 
-def compare(spot: int, rows: list[dict], split: int, similar: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+@dataclass(frozen=True)
+class Members:
+    """Vectors that meet: keys, weights, balls, unit vectors, and join keys with the place of each."""
+
+    key: np.ndarray
+    weight: np.ndarray
+    ball: np.ndarray
+    unit: np.ndarray
+    spot: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, packs: list[pa.StructArray]) -> Members:
+        rows = pa.concat_arrays(packs)
+        spots = rows.field("spots")
+        key, weight, ball = (rows.field(c).to_numpy() for c in ("key", "weight", "ball"))
+        place = np.repeat(np.arange(len(rows)), spots.value_lengths().to_numpy())
+        return cls(key, weight, ball, unit_rows(matrix(rows.field("vector"))), spots.flatten().to_numpy(), place)
+
+
+def compare(spot: int, rows: Members, split: int, similar: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links at one key: each row's linked weight, and edges (places) that connect what the links connect.
 
     With `split`, the rows before it meet only those from it on; without, all rows meet. Rows of one ball are not compared.
     """
-    unit = unit_rows(np.array([r["vector"] for r in rows], np.float64))
-    ball = np.array([r["ball"] for r in rows])
-    weight = np.array([r["weight"] for r in rows], np.int64)
-    n = len(rows)
+    unit, ball, weight, n = rows.unit, rows.ball, rows.weight, len(rows.key)
     left, right = (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
     close = np.zeros((len(left), len(right)), bool)
     for s in range(0, len(left), 256):
@@ -198,11 +215,12 @@ def compare(spot: int, rows: list[dict], split: int, similar: float) -> tuple[np
         return total, []
     # Keys before this one that both have: the pair has met there.
     part = np.unique(np.concatenate([a, b]))
-    held = [np.array(rows[i]["spots"], np.int64) for i in part.tolist()]
-    held = [h[h < spot] for h in held]
-    names, at = np.unique(np.concatenate(held), return_inverse=True)
+    of = np.full(n, -1)
+    of[part] = np.arange(len(part))
+    before = (rows.spot < spot) & (of[rows.place] >= 0)
+    names, at = np.unique(rows.spot[before], return_inverse=True)
     has = np.zeros((len(part), len(names)), np.float32)
-    has[np.repeat(np.arange(len(part)), [len(h) for h in held]), at] = 1
+    has[of[rows.place[before]], at] = 1
     has = has[:, has.sum(axis=0) > 1]
     i, j = np.searchsorted(part, a), np.searchsorted(part, b)
     if has.shape[1]:
@@ -238,12 +256,11 @@ def _links(pairs: DataFrame, similar: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for met in batch.to_pylist():
-                more = met["more"] or []
-                rows = met["members"] + more
-                total, edges = compare(met["spot"], rows, len(met["members"]) if more else 0, similar)
-                key = np.array([r["key"] for r in rows], np.int64)
-                at = np.flatnonzero(total)
+            for spot, members, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                two = more.is_valid
+                rows = Members.of([members.values, more.values] if two else [members.values])
+                total, edges = compare(spot, rows, len(members.values) if two else 0, similar)
+                key, at = rows.key, np.flatnonzero(total)
                 a, b = (np.array([e[c] for e in edges], np.int64) for c in (0, 1))
                 if len(at) or len(a):
                     none = lambda n: pa.nulls(n, pa.int64())
