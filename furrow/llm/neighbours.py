@@ -4,12 +4,13 @@ The trees are fitted on a bounded sample: each inner node splits by the bisector
 then routed through every tree, so all rows are indexed. A query walks all trees with one priority queue, which always
 opens the node whose worst margin on the way is best, until the leaves reached hold enough of the sample. Query
 and candidates meet by leaf, in blocks of bounded size, and are ranked by the exact inner product in double precision,
-added up component by component.
+added up component by component. A candidate below the query's k-th best score among the sample cannot be in the result,
+so it does not leave its meeting.
 
 Equal vectors are one: they are compared once, and keep as many of their smallest ids as any result can show. Vectors
 that are null, zero, or hold null or non-finite components take no part. Rows without an id take no part. Vectors of
-other lengths than most raise. Repeated rows are rows. An empty table gives an empty result. Other columns are not
-read.
+other lengths than most raise. Repeated rows are rows, and so are rows that share an id: each asking row has its own
+result, and its candidates are all rows but itself. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.llm.common import matrix
 from furrow.session import cut_lineage
 
 #: Neighbours, trees, sample that the trees are fitted on and sample points of a leaf.
@@ -126,43 +128,44 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return made.withColumn("key", F.col("ids")[0])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(column) and len(flat) % len(column):
-        raise ValueError("vectors differ in length")
-    return flat.reshape(len(column), -1)
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products, added up in the order of the components."""
+    out = np.zeros((len(queries), len(vectors)))
+    for d in range(queries.shape[1]):
+        out += queries[:, d, None] * vectors[None, :, d]
+    return out
 
 
-def _leaf_rows(vectors: DataFrame, forest: Forest, opened: int | None) -> DataFrame:
-    """(leaf, key, vector): a row for each tree, or for each leaf that a query opens."""
+def _leaf_rows(vectors: DataFrame, forest: Forest, opened: int | None, sample: np.ndarray, keep: int) -> DataFrame:
+    """(leaf, key, vector, least): a row for each tree, or for each leaf that a query opens; `least` is a score that the first
+    `keep` of a query do not fall short of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _matrix(batch.column(1))
+            found = matrix(batch.column(1))
             for s in range(0, len(found), 256):
                 some = found[s:s + 256]
-                leaves = list(forest.route(some)) if opened is None else [np.array(forest.search(v, opened), np.int64) for v in some]
-                at = pa.array(np.repeat(np.arange(s, s + len(some)), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves), pa.int64()), batch.column(0).take(at), batch.column(1).take(at)],
-                                                 ["leaf", "key", "vector"])
+                least = np.full(len(some), -np.inf)
+                if opened is None:
+                    leaves = list(forest.route(some))
+                else:
+                    leaves = [np.array(forest.search(v, opened), np.int64) for v in some]
+                    if len(sample) >= keep:
+                        least = -np.partition(-products(some, sample), keep - 1, axis=1)[:, keep - 1]
+                each = np.repeat(np.arange(len(some)), [len(x) for x in leaves])
+                at = pa.array(each + s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves), pa.int64()), batch.column(0).take(at), batch.column(1).take(at),
+                                                  pa.array(least[each])], ["leaf", "key", "vector", "least"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.select("key", "vector").mapInArrow(run, f"leaf long, key long, vector {kind}")
+    return vectors.select("key", "vector").mapInArrow(run, f"leaf long, key long, vector {kind}, least double")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(leaf, keys, vectors): the rows of a leaf in packs of about BLOCK."""
+    """(leaf, members): the rows of a leaf in packs of about BLOCK."""
     size = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cut = rows.join(size, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    return cut.groupBy("leaf", "block").agg(F.collect_list(F.struct("key", "vector")).alias("members"))
-
-
-def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products, added up in the order of the components."""
-    out = np.zeros((len(queries), len(vectors)))
-    for d in range(queries.shape[1]):
-        out += queries[:, d, None] * vectors[None, :, d]
-    return out
+    return cut.groupBy("leaf", "block").agg(F.collect_list(F.struct("key", "vector", "least")).alias("members"))
 
 
 def _best(pairs: DataFrame, keep: int) -> DataFrame:
@@ -171,13 +174,12 @@ def _best(pairs: DataFrame, keep: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                (q, qv), (k, kv) = (((m := batch.column(c)[at].values).field("key").to_numpy(), _matrix(m.field("vector"))) for c in ("asked", "members"))
+                (q, qv), (k, kv) = (((m := batch.column(c)[at].values).field("key").to_numpy(), matrix(m.field("vector"))) for c in ("asked", "members"))
                 score = products(qv, kv)
+                edge = batch.column("asked")[at].values.field("least").to_numpy()
                 if score.shape[1] > keep:
-                    edge = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                    r, c = np.nonzero(score >= edge[:, None])
-                else:
-                    r, c = np.nonzero(np.ones_like(score, bool))
+                    edge = np.maximum(edge, -np.partition(-score, keep - 1, axis=1)[:, keep - 1])
+                r, c = np.nonzero(score >= edge[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(k[c]), pa.array(score[r, c])], ["query", "key", "score"])
 
     return pairs.select("asked", "members").mapInArrow(run, "query long, key long, score double")
@@ -187,25 +189,28 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
             sample: int = SAMPLE, leaf: int = LEAF, opened: int = OPENED) -> DataFrame:
     """(query_id, rank, vec_id, score): the best found for every row for which `is_query` (of column `id`) is true."""
     valid = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    keep = nearest + 1
+    keep = nearest + 1  # an asking row may be among its own first
     vectors = cut_lineage(distinct_vectors(valid, keep))
     points = [r[0] for r in vectors.orderBy(F.xxhash64("vector"), "key").limit(sample).select("vector").collect()]
     schema = "query_id long, rank int, vec_id long, score double"
     if not points:
         return rows.sparkSession.createDataFrame([], schema)
-    forest = Forest(np.array(points, np.float64), trees, leaf)
-    asking = valid.where(is_query)
-    asked = asking.join(vectors.select("vector", "key"), "vector").select("id", "key")
+    shown = np.array(points, np.float64)
+    forest = Forest(shown, trees, leaf)
+    asking = cut_lineage(valid.where(is_query).withColumn("row", F.monotonically_increasing_id()))
+    asked = asking.join(vectors.select("vector", "key"), "vector").select("row", "id", "key")
     query_vectors = vectors.join(asked.select("key").distinct(), "key", "left_semi")
-    index = _blocks(_leaf_rows(vectors, forest, None))
-    probes = _blocks(_leaf_rows(query_vectors, forest, opened)).select("leaf", F.col("members").alias("asked"))
+    index = _blocks(_leaf_rows(vectors, forest, None, shown, keep))
+    probes = _blocks(_leaf_rows(query_vectors, forest, opened, shown, keep)).select("leaf", F.col("members").alias("asked"))
     met = _best(probes.join(index, "leaf"), keep).groupBy("query", "key").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     top = met.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= keep).drop("n")
-    listed = top.join(vectors.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
-    best = listed.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(
-        F.col("n") <= keep).drop("n")
-    each = asked.join(best.withColumnRenamed("query", "key"), "key").where(F.col("vec_id") != F.col("id"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= nearest).select(
+    listed = top.join(vectors.select("key", "ids"), "key").select("query", "key", "score", F.explode("ids").alias("vec_id"))
+    # The first rows of each vector that asks, with the asking ones; rows of one id and vector are told apart by number.
+    best = listed.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key"))).where(
+        F.col("n") <= keep).withColumn("copy", F.row_number().over(Window.partitionBy("query", "key", "vec_id").orderBy("n")))
+    each = asked.join(best.select(F.col("query").alias("key"), F.col("key").alias("near"), "vec_id", "score", "copy"), "key")
+    itself = (F.col("near") == F.col("key")) & (F.col("vec_id") == F.col("id")) & (F.col("copy") == 1)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return each.where(~itself).withColumn("rank", rank).where(F.col("rank") <= nearest).select(
         F.col("id").alias("query_id"), "rank", "vec_id", "score")

@@ -75,6 +75,22 @@ def test_nearest_is_exact_when_all_leaves_open(spark):
     assert neighbours.nearest(few, F.col("id") % 20 == 0).count() == 2
 
 
+def test_each_row_of_a_repeated_id_asks_for_itself(spark):
+    rng = np.random.default_rng(6)
+    new = lambda: [float(x) for x in rng.normal(size=8)]
+    rows = [(i, new()) for i in range(90)]
+    rows += [(20, new()), (40, rows[40][1])] + [(60, rows[60][1])] * 26 + [(33, new()), (33, new()), (80, rows[12][1])]
+    score = lambda a, b: float(np.cumsum(np.array(a) * np.array(b))[-1])
+    expected = []
+    for at, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-score(v, w), j) for k, (j, w) in enumerate(rows) if k != at)
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near[:20])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(df, F.col("id") % 20 == 0, opened=10**6, leaf=8, trees=2)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_recall_of_the_registered_query(spark):
     folder = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
