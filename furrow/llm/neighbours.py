@@ -5,7 +5,7 @@ then routed through every tree, so all rows are indexed. A query walks all trees
 opens the node whose worst margin on the way is best, until the leaves reached hold enough of the sample. Query
 and candidates meet by leaf, in blocks of bounded size, and are ranked by the exact inner product in double precision,
 added up component by component. A candidate below the query's k-th best score among the sample cannot be in the result,
-so it does not leave its meeting.
+so it does not leave its meeting; those of the sample are candidates without one.
 
 Equal vectors are one: they are compared once, and keep as many of their smallest ids as any result can show. Vectors
 that are null, zero, or hold null or non-finite components take no part. Rows without an id take no part. Vectors of
@@ -121,11 +121,11 @@ def usable(vector: Column) -> Column:
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(key, vector, ids, queries): each vector once, with its `keep` smallest ids and all its query ids' number."""
+    """(key, vector, ids): each vector once, with its `keep` smallest ids. The keys hold once the rows are stored."""
     order = Window.partitionBy("vector").orderBy("id")
     first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
     made = first.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return made.withColumn("key", F.col("ids")[0])
+    return made.withColumn("key", F.monotonically_increasing_id())
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -161,6 +161,22 @@ def _leaf_rows(vectors: DataFrame, forest: Forest, opened: int | None, sample: n
     return vectors.select("key", "vector").mapInArrow(run, f"leaf long, key long, vector {kind}, least double")
 
 
+def _shown(queries: DataFrame, sample: np.ndarray, keys: np.ndarray, keep: int) -> DataFrame:
+    """(query, key, score): the best of each query among the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = matrix(batch.column(1))
+            for s in range(0, len(found), 256):
+                score = products(found[s:s + 256], sample)
+                best = np.argpartition(-score, min(keep, len(sample)) - 1, axis=1)[:, :keep]
+                asked = np.repeat(batch.column(0).to_numpy()[s:s + 256], best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(keys[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())],
+                                                 ["query", "key", "score"])
+
+    return queries.select("key", "vector").mapInArrow(run, "query long, key long, score double")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """(leaf, members): the rows of a leaf in packs of about BLOCK."""
     size = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -191,21 +207,21 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     valid = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     keep = nearest + 1  # an asking row may be among its own first
     vectors = cut_lineage(distinct_vectors(valid, keep))
-    points = [r[0] for r in vectors.orderBy(F.xxhash64("vector"), "key").limit(sample).select("vector").collect()]
+    points = vectors.orderBy(F.xxhash64("vector"), "key").limit(sample).select("vector", "key").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not points:
         return rows.sparkSession.createDataFrame([], schema)
-    shown = np.array(points, np.float64)
+    shown, keys = np.array([r[0] for r in points], np.float64), np.array([r[1] for r in points], np.int64)
     forest = Forest(shown, trees, leaf)
     asking = cut_lineage(valid.where(is_query).withColumn("row", F.monotonically_increasing_id()))
     asked = asking.join(vectors.select("vector", "key"), "vector").select("row", "id", "key")
     query_vectors = vectors.join(asked.select("key").distinct(), "key", "left_semi")
     index = _blocks(_leaf_rows(vectors, forest, None, shown, keep))
     probes = _blocks(_leaf_rows(query_vectors, forest, opened, shown, keep)).select("leaf", F.col("members").alias("asked"))
-    met = _best(probes.join(index, "leaf"), keep).groupBy("query", "key").agg(F.max("score").alias("score"))
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    top = met.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= keep).drop("n")
-    listed = top.join(vectors.select("key", "ids"), "key").select("query", "key", "score", F.explode("ids").alias("vec_id"))
+    met = _best(probes.join(index, "leaf"), keep).unionByName(_shown(query_vectors, shown, keys, keep)).groupBy("query", "key").agg(F.max("score").alias("score"))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0], "key")
+    top = met.join(vectors.select("key", "ids"), "key").withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= keep)
+    listed = top.select("query", "key", "score", F.explode("ids").alias("vec_id"))
     # The first rows of each vector that asks, with the asking ones; rows of one id and vector are told apart by number.
     best = listed.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key"))).where(
         F.col("n") <= keep).withColumn("copy", F.row_number().over(Window.partitionBy("query", "key", "vec_id").orderBy("n")))
