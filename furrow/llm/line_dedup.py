@@ -11,7 +11,7 @@ row per batch in its shard. Probes lie behind the arrays of their shard in one s
 and all probes stream by. A shard with many probes is split, each part with the arrays of its own.
 
 Null and empty texts are one empty line. Texts are taken whole. Rows of one id are one document: none of its lines makes
-another of them go. Documents without an id count as one that comes last; what they lose is listed by text. An empty
+another of them go. Ids are whole numbers; texts that are none raise. Documents without an id count as one that comes last; what they lose is listed by text. An empty
 table gives an empty one. Columns of the input are carried; one with the name of a result column is replaced.
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import row_total, with_results
+from furrow.llm.common import row_total, unused, with_results
 from furrow.session import cut_lineage
 
 #: Code points of a key from which on it counts.
@@ -254,10 +254,10 @@ def kept_lines(text: str, drops: list[bytes] | None) -> tuple[str, int, int]:
 
 
 def drop_lists(found: DataFrame) -> DataFrame:
-    """(doc, last, __drops): each hash once, so that rows which repeat an id do not lengthen the list that all of them get."""
+    """(doc, last, drops): each hash once, so that rows which repeat an id do not lengthen the list that all of them get."""
     each = F.expr(f"transform(sequence(0, length(drops) div {DROP.itemsize} - 1), i -> substring(drops, i * {DROP.itemsize} + 1, {DROP.itemsize}))")
     once = found.select("doc", "last", F.explode(each).alias("drop")).distinct()
-    return once.groupBy("doc", "last").agg(F.collect_list("drop").alias("__drops"))
+    return once.groupBy("doc", "last").agg(F.collect_list("drop").alias("drops"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
@@ -266,10 +266,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     shards = 1 + size // SHARD_BYTES
     index = cut_lineage(shard_index(docs, shards, doc_id, text))
     lists = drop_lists(repeated_lines(docs, index, shards, doc_id, text, split))
-    lists = lists.select(F.col("doc").alias("__doc"), F.col("last").alias("__last"), "__drops")
+    doc, none, drops = (unused(docs, n) for n in ("drops_doc", "drops_last", "drops_list"))
+    lists = lists.select(F.col("doc").alias(doc), F.col("last").alias(none), F.col("drops").alias(drops))
     number = F.col(doc_id).cast("long")
-    same = (F.coalesce(number, F.xxhash64(text)) == F.col("__doc")) & (number.isNull() == F.col("__last"))
-    joined = docs.join(lists, same, "left").drop("__doc", "__last")
-    return with_results(joined, F.struct(F.col(text).alias("text"), F.col("__drops").alias("drops")),
+    same = (F.coalesce(number, F.xxhash64(text)) == F.col(doc)) & (number.isNull() == F.col(none))
+    joined = docs.join(lists, same, "left").drop(doc, none)
+    return with_results(joined, F.struct(F.col(text).alias("text"), F.col(drops).alias("drops")),
                         {"kept_text": "string", "n_lines": "bigint", "n_dropped": "bigint"},
-                        lambda rows: [kept_lines(r["text"] or "", r["drops"]) for r in rows]).drop("__drops")
+                        lambda rows: [kept_lines(r["text"] or "", r["drops"]) for r in rows]).drop(drops)

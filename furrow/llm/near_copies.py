@@ -13,6 +13,7 @@ compared two by two.
 Copies are one fingerprint before anything is compared. Null and empty texts have fingerprint zero and link like any
 other. Shorter texts than a shingle are one shingle. Rows may repeat. Documents without an id are linked like others but
 give no component its number; a component of such documents only has a null number. An empty table gives an empty one.
+Other columns are not read. Components that do not settle within the rounds of `connected_components` raise.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import row_total, with_results
@@ -42,6 +43,8 @@ SAMPLE = 4096
 BLOCK = 32_768
 #: Partitions that are tried.
 PARTITIONS = (2, 3, 4, 5, 6)
+#: Labels (some 20 bytes) that are sent to every task, and join keys over which the rows of a hot fingerprint are spread.
+SENT, SPREAD = 200_000, 64
 #: Cost of a key that is shuffled, in comparisons.
 KEY_COST = 100.0
 
@@ -202,32 +205,35 @@ def links(values: DataFrame, fp: str = "fp", distance: int = DISTANCE, block: in
     return _verified(small.unionByName(two), distance)
 
 
-def components(rows: DataFrame, doc_id: str = "doc_id", fp: str = "fp", distance: int = DISTANCE) -> DataFrame:
-    """Rows (id, fingerprint; narrow, they are read twice) with component_id: the smallest id that links lead to."""
-    values = cut_lineage(rows.groupBy(fp).agg(F.min(doc_id).alias("least")))
+def components(rows: DataFrame, doc_id: str = "doc_id", fp: str = "fp", distance: int = DISTANCE, sent: int = SENT) -> DataFrame:
+    """Rows (id, fingerprint; narrow, they are read twice) with component_id: the smallest id that links lead to.
+
+    A fingerprint that one row has and nothing links to stands for itself. The labels of the others are counted: few are
+    sent to every task; more are joined by fingerprint, the rows of hot ones being spread over several join keys.
+    """
+    values = cut_lineage(rows.groupBy(fp).agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("n")))
     found = cut_lineage(links(values, fp, distance))
     nodes = found.select(F.col("id_a").alias("id")).union(found.select(F.col("id_b").alias("id")))
     label = connected_components(found, nodes).withColumnRenamed("id", fp)
     linked = values.join(label, fp)
     number = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = linked.join(number, "component").select(fp, "component_id", F.lit(True).alias("linked"))
-    each = values.join(joined, fp, "left").select(
-        fp, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(each, fp)
-
-
-def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    shared = linked.join(number, "component").select(fp, "component_id", "n").unionByName(
+        values.where("n > 1").join(label, fp, "left_anti").select(fp, F.col("least").alias("component_id"), "n"))
+    shared = cut_lineage(shared.withColumn("told", F.lit(True)))
+    total = row_total(shared)
+    if total <= sent:
+        joined = rows.join(F.broadcast(shared.drop("n")), fp, "left")
+    else:
+        large = shared.agg(F.sum("n")).first()[0] // SPREAD  # so at most SPREAD fingerprints are hot
+        hot = F.broadcast(shared.where(F.col("n") > large).select(fp, F.lit(True).alias("hot")))
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD))).otherwise(0).cast("int")
+        copies = F.explode(F.when(F.col("n") > large, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+        joined = rows.join(hot, fp, "left").withColumn("salt", salt).join(shared.select(fp, "component_id", "told", copies), [fp, "salt"], "left")
+    component = F.when(F.col("told"), F.col("component_id")).otherwise(F.col(doc_id))
+    return joined.select(*rows.columns, component.alias("component_id"))
+
+
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, sent: int = SENT) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    rows = cut_lineage(fingerprints(docs.select(doc_id, text), text).drop(text))
-    return components(rows, doc_id, distance=distance)
-
-
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` that stand for their component: the smallest id's; of rows with equal ids one stays.
-
-    Rows without an id cannot stand for others; they stay as they are.
-    """
-    kept = judged(docs, doc_id, text, distance).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__id")).distinct()
-    staying = docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
-    one = staying.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
+    rows = cut_lineage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
+    return components(rows, distance=distance, sent=sent)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WHITE, row_total, with_results
+from furrow.llm.common import WHITE, row_total, unused, with_results
 from furrow.session import cut_lineage
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -110,9 +110,10 @@ def judged(rows: DataFrame, host: str = "source", most: float = MOST) -> DataFra
     The join is by host. The hosts are counted: up to SENT_HOSTS verdicts are broadcast; beyond that, adaptive execution
     splits a hot host's documents.
     """
-    verdict = host_verdicts(rows, host, most).select(F.col("host").alias("__host"), F.col("host_kept").alias("__kept"))
+    of, passed = unused(rows, "verdict_host"), unused(rows, "verdict_kept")
+    verdict = host_verdicts(rows, host, most).select(F.col("host").alias(of), F.col("host_kept").alias(passed))
     if row_total(verdict) <= SENT_HOSTS:
         verdict = F.broadcast(verdict)
-    joined = rows.join(verdict, F.col(host) == F.col("__host"), "left")
+    joined = rows.join(verdict, F.col(host) == F.col(of), "left")
     return joined.withColumn("base_failed", F.col("failed_base")).withColumn(
-        "kept", ~F.col("failed_base") & F.coalesce("__kept", F.lit(True))).drop("__host", "__kept")
+        "kept", ~F.col("failed_base") & F.coalesce(passed, F.lit(True))).drop(of, passed)

@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.common import unused
+
 #: Slots (prime, over a hundred for each shard) and shards of the registered query.
 SLOTS = 4099
 SHARDS = tuple(f"shard-{i:02d}" for i in range(32))
@@ -53,6 +55,8 @@ def placed(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: i
     """`rows` with `slot` (long) and `shard` (its name)."""
     table = filled_table(tuple(shards), slots)
     listed = F.split(F.lit("\n".join(shards[i] for i in table)), "\n")
-    lookup = rows.sparkSession.range(1).select(F.posexplode(listed).alias("__slot", "shard"))
-    rows = rows.drop("shard").withColumn("slot", slot_of(F.col(key), slots))
-    return rows.join(F.broadcast(lookup), F.col("slot") == F.col("__slot").cast("long"), "left").drop("__slot")
+    rows = rows.drop("shard")
+    place = unused(rows, "shard_slot")
+    lookup = rows.sparkSession.range(1).select(F.posexplode(listed).alias(place, "shard"))
+    rows = rows.withColumn("slot", slot_of(F.col(key), slots))
+    return rows.join(F.broadcast(lookup), F.col("slot") == F.col(place).cast("long"), "left").drop(place)
