@@ -144,6 +144,7 @@ def thresholds(costs: list[np.ndarray], total: int) -> tuple[float, list[int]]:
 
 def plan(sample: list[int], rows: int, distance: int = DISTANCE) -> list[Partition]:
     """Partitions of the bits with their thresholds, for `rows` different fingerprints like those of the sample."""
+    rows = max(rows, 1)  # of nothing, every plan would cost the same
     raw = np.array([s & (1 << 64) - 1 for s in sample] or [0], "<u8")
     bits = np.unpackbits(raw.view(np.uint8), bitorder="little").reshape(-1, BITS).astype(np.float64)
     choices = []
