@@ -364,3 +364,26 @@ def final_summary(messages: DataFrame, longer_than: int = 50) -> DataFrame:
     text = F.regexp_replace(F.trim(message_text(F.col("text"))), r"\\+$", "")
     said = messages.where(F.col("role") == "assistant").withColumn("_t", text).where(F.length("_t") > longer_than)
     return said.groupBy("conv_id").agg(F.max_by("_t", "turn").alias("summary"))
+
+
+# Scores that an entry has where its impact says nothing, and the name of an entry without a title.
+WEAK_SCORE, NEUTRAL_SCORE, UNTITLED = 0.1, 0.5, "제목없음"
+
+
+def evidence_rows(messages: DataFrame, most: int = 200) -> DataFrame:
+    """(conv_id, turn, place, text, sentiment, positive_score, negative_score, neutral_score): a row for each entry of the
+    `evidence_news` array of the news tool's results.
+
+    Results that are no JSON object or name an error have none. An entry without a title gets a fixed one, one without an
+    impact counts as neutral; entries that are no objects are left out.
+    """
+    kind = "evidence_news array<struct<title:string,all_text:string,price_impact_score:double>>"
+    usable = ~F.coalesce(F.map_contains_key(F.from_json("text", "map<string,string>"), "error"), F.lit(True))
+    held = messages.where((F.col("name") == "news_sentiment_analyzer") & usable).select(
+        "conv_id", "turn", F.posexplode(F.from_json("text", kind)["evidence_news"]).alias("place", "e")).where(F.col("e").isNotNull())
+    impact = F.coalesce("e.price_impact_score", F.lit(0.0))
+    said = F.concat(F.lit("["), F.coalesce("e.title", F.lit(UNTITLED)), F.lit("] "), F.substring(F.coalesce("e.all_text", F.lit("")), 1, most), F.lit("..."))
+    return held.select(
+        "conv_id", "turn", "place", said.alias("text"), F.when(impact > 0, "positive").when(impact < 0, "negative").otherwise("neutral").alias("sentiment"),
+        F.when(impact > 0, impact).otherwise(WEAK_SCORE).alias("positive_score"),
+        F.when(impact < 0, -impact).otherwise(WEAK_SCORE).alias("negative_score"), F.lit(NEUTRAL_SCORE).alias("neutral_score"))

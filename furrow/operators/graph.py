@@ -220,6 +220,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame, a: str = "id_a", b:
     return nodes.select(id_col).distinct().join(label, id_col, "left").withColumn("component", F.coalesce("component", id_col))
 
 
+def free_order(id_: Column) -> Column:
+    """An order for leader clustering where none is given: by digest, so that chains of decisions stay short."""
+    return F.md5(id_.cast("string").cast("binary"))
+
+
 def cluster_leaders(items: DataFrame, pairs: DataFrame, id_col: str = "id", order: str = "id") -> DataFrame:
     """Greedy leader clustering in the given order: (id, leader).
 

@@ -66,13 +66,14 @@ def _features(spark, sf):
     news, vectors = view(spark, sf, "news"), view(spark, sf, "embeddings")
     stored = lambda name: vectors.select(F.col("vec_id").alias(f"at_{name}"), F.col("embedding").alias(name))
     n = F.col("doc_id")
-    news = news.withColumns({"at_embedding": F.col("vec_id"), "at_triple_vector": (n * 7 + 2) % 500, "at_entity_vector": F.when(n % 3 > 0, (n * 3 + 1) % 500)})
+    total = max(1, vectors.count())
+    news = news.withColumns({"at_embedding": F.col("vec_id"), "at_triple_vector": (n * 7 + 2) % total, "at_entity_vector": F.when(n % 3 > 0, (n * 3 + 1) % total)})
     for name in NM.VECTORS:
         news = news.join(stored(name), f"at_{name}", "left")
     return NM.feature_rows(news, view(spark, sf, "px_daily"), dict.fromkeys(NM.VECTORS, 64))
 
 
-@query("assembled_features__ml2", NEWS_PX + FEATURE_SQL.replace("JOIN news n ON", "JOIN news n ON n.filter_status = 'T' AND") + """, held AS (SELECT commodity, date, 0 AS part, vec_id AS k FROM win UNION ALL SELECT commodity, date, 1, (doc_id * 3 + 1) % 500 FROM win WHERE doc_id % 3 > 0 UNION ALL SELECT commodity, date, 2, (doc_id * 7 + 2) % 500 FROM win),
+@query("assembled_features__ml2", NEWS_PX + FEATURE_SQL.replace("JOIN news n ON", "JOIN news n ON n.filter_status = 'T' AND") + """, held AS (SELECT commodity, date, 0 AS part, vec_id AS k FROM win UNION ALL SELECT commodity, date, 1, (doc_id * 3 + 1) % (SELECT count(*) FROM embeddings) FROM win WHERE doc_id % 3 > 0 UNION ALL SELECT commodity, date, 2, (doc_id * 7 + 2) % (SELECT count(*) FROM embeddings) FROM win),
 v AS (SELECT commodity, date, part, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM held JOIN embeddings e ON e.vec_id = k), a AS (SELECT commodity, date, part, pos, avg(CAST(x AS DOUBLE)) AS m FROM v GROUP BY ALL),
 t AS (SELECT commodity, date, sum(m * (1 + part)) AS total, bool_or(part = 0) AS told FROM a GROUP BY ALL)
 SELECT f.commodity, CAST(f.date AS STRING) AS date, 3 * 64 + 9 AS dimensions, round(t.total + coalesce(avg_price_impact, 0) + avg_positive + avg_negative + avg_neutral + impact_std + news_count + positive_count + negative_count + neutral_count, 4) AS total FROM feat f JOIN t ON t.commodity = f.commodity AND t.date = f.date WHERE told""")
@@ -146,7 +147,7 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-PAST = NEWS_PX + r""", asked AS (SELECT DISTINCT commodity, date, 'vector ' || ((day(date) * 131 + place * 17 + length(commodity) * 7) % 600) AS triple_text FROM px_daily, range(1, 8) AS r(place)),
+PAST = NEWS_PX + r""", asked AS (SELECT DISTINCT commodity, date, 'vector ' || ((day(date) * 131 + place * 17 + length(commodity) * 7) * 7919 % (SELECT count(*) * 6 // 5 FROM embeddings)) AS triple_text FROM px_daily, range(1, 8) AS r(place)),
 e AS (SELECT vec_id, 'vector ' || vec_id AS triple_text, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT DISTINCT triple_text, e.v FROM asked JOIN e USING (triple_text)),
 near AS (SELECT q.triple_text, e.vec_id FROM q, e QUALIFY row_number() OVER (PARTITION BY q.triple_text ORDER BY round(1 - list_cosine_similarity(q.v, e.v), 9) + 0.0, e.vec_id) <= 2),
 h AS (SELECT DISTINCT commodity, date, vec_id FROM asked JOIN near USING (triple_text)),
@@ -162,7 +163,8 @@ FROM r ASOF LEFT JOIN b ON b.commodity = r.commodity AND r.publish_date <= b.dat
 def _past_news(spark, sf):
     news, bars = view(spark, sf, "news"), view(spark, sf, "px_daily")
     place = F.explode(F.sequence(F.lit(1), F.lit(9)))  # more than are looked up
-    number = (F.dayofmonth("date") * 131 + F.col("place") * 17 + F.length("commodity") * 7) % 600  # some are not stored
+    total = max(1, view(spark, sf, "embeddings").count() * 6 // 5)  # some are not stored
+    number = (F.dayofmonth("date") * 131 + F.col("place") * 17 + F.length("commodity") * 7) * 7919 % total
     triples = bars.select("commodity", "date", place.alias("place")).withColumn("triple_text", F.concat(F.lit("vector "), number.cast("string")))
     vectors = view(spark, sf, "embeddings").select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("triple_text"), F.col("vec_id").alias("hash_id"), "embedding")
     bridge = news.select(F.col("vec_id").alias("hash_id"), F.col("id").alias("article_id"))

@@ -144,3 +144,13 @@ def _(spark, sf):
 @query("final_summaries__udtf3", MSG + r""" SELECT conv_id, max_by(regexp_replace(trim(said), '\\+$', ''), turn) AS summary FROM messages WHERE role = 'assistant' AND length(regexp_replace(trim(said), '\\+$', '')) > 50 GROUP BY conv_id""")
 def _(spark, sf):
     return R.final_summary(view(spark, sf, "messages"))
+
+
+@query("evidence_rows__udtf3", with_views("news_results") + f""", ok AS (SELECT conv_id, turn, text::JSON AS j FROM news_results WHERE name = 'news_sentiment_analyzer' AND json_valid(text)),
+e AS (SELECT conv_id, turn, unnest(json_extract(j, '$.evidence_news[*]')) AS e, generate_subscripts(json_extract(j, '$.evidence_news[*]'), 1) - 1 AS place FROM ok WHERE NOT list_contains(json_keys(j), 'error')),
+i AS (SELECT *, coalesce(CAST(e->>'$.price_impact_score' AS DOUBLE), 0) AS impact FROM e)
+SELECT conv_id, turn, place::INT AS place, '[' || coalesce(e->>'$.title', '{R.UNTITLED}') || '] ' || substring(coalesce(e->>'$.all_text', ''), 1, 200) || '...' AS text,
+CASE WHEN impact > 0 THEN 'positive' WHEN impact < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN impact > 0 THEN impact ELSE 0.1::DOUBLE END AS positive_score,
+CASE WHEN impact < 0 THEN -impact ELSE 0.1::DOUBLE END AS negative_score, 0.5::DOUBLE AS neutral_score FROM i""")
+def _(spark, sf):
+    return R.evidence_rows(view(spark, sf, "news_results"))

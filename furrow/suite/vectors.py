@@ -12,7 +12,7 @@ from furrow.operators import joins as J
 from furrow.operators import similarity as S
 from furrow.operators import topk as K
 from furrow.suite import query
-from furrow.suite.views import view
+from furrow.suite.views import view, with_views
 
 # The generated vectors are nearly orthogonal, so the thresholds here lie below the defaults.
 THRESHOLD = 0.3
@@ -20,10 +20,11 @@ EMB = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM em
 PAIRS = EMB + f", pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= {THRESHOLD})"
 
 
-@query("embedding_lookup__jn7", """WITH texts AS (SELECT DISTINCT 'vector ' || CAST(doc_id % 700 AS STRING) AS text FROM documents), stored AS (SELECT 'vector ' || CAST(vec_id AS STRING) AS text, md5(CAST(vec_id AS STRING)) AS hash_id, embedding FROM embeddings)
+@query("embedding_lookup__jn7", """WITH texts AS (SELECT DISTINCT 'vector ' || CAST(doc_id % (SELECT count(*) * 7 // 5 FROM embeddings) AS STRING) AS text FROM documents), stored AS (SELECT 'vector ' || CAST(vec_id AS STRING) AS text, md5(CAST(vec_id AS STRING)) AS hash_id, embedding FROM embeddings)
 SELECT t.text, s.hash_id, round(CAST(s.embedding[1] AS DOUBLE), 6) AS first_value FROM texts t LEFT JOIN stored s ON s.text = t.text""")
 def _(spark, sf):
-    texts = view(spark, sf, "documents").select(F.concat(F.lit("vector "), (F.col("doc_id") % 700).cast("string")).alias("text"))
+    total = max(1, view(spark, sf, "embeddings").count() * 7 // 5)  # some are not stored
+    texts = view(spark, sf, "documents").select(F.concat(F.lit("vector "), (F.col("doc_id") % total).cast("string")).alias("text"))
     stored = view(spark, sf, "embeddings").select(
         F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), F.md5(F.col("vec_id").cast("string")).alias("hash_id"), "embedding")
     return J.embedding_lookup(texts, stored).select("text", "hash_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
@@ -95,10 +96,16 @@ def _(spark, sf):
     return K.top_rows(heads, [F.col("importance").desc(), F.col("vec_id")], 10).select("vec_id", F.round("importance", 6).alias("importance"))
 
 
-@query("leader_clusters__gr4")
+@query("leader_clusters__gr4", PAIRS.replace("WITH e", "WITH RECURSIVE e", 1) + """, o AS (SELECT vec_id, 'w' || vec_id AS word, row_number() OVER (ORDER BY md5(CAST(vec_id AS STRING))) AS place FROM embeddings),
+b AS (SELECT greatest(x.place, y.place) AS place, list(least(x.place, y.place)) AS befores FROM pairs JOIN o x ON x.vec_id = id_a JOIN o y ON y.vec_id = id_b GROUP BY 1),
+step(place, leads) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT step.place + 1, CASE WHEN list_has_any(leads, coalesce(befores, []::BIGINT[])) THEN leads ELSE list_append(leads, step.place + 1) END
+FROM step LEFT JOIN b ON b.place = step.place + 1 WHERE step.place < (SELECT count(*) FROM o)),
+l AS (SELECT leads FROM step ORDER BY place DESC LIMIT 1), f AS (SELECT o.*, coalesce(list_min(list_intersect(leads, coalesce(befores, []::BIGINT[]))), o.place) AS leader FROM o CROSS JOIN l LEFT JOIN b ON b.place = o.place),
+r AS (SELECT leader, arg_min(word, length(word) * 100000000 + vec_id) AS representative FROM f GROUP BY leader) SELECT word, representative FROM f JOIN r USING (leader)""")
 def _(spark, sf):
     vectors = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"))
-    leaders = G.cluster_leaders(vectors, _pairs(spark, sf))
+    vectors = vectors.withColumn("turn", G.free_order(F.col("id")))
+    leaders = G.cluster_leaders(vectors, _pairs(spark, sf), order="turn")
     return G.representatives(vectors, leaders, "word")
 
 
@@ -110,3 +117,17 @@ def _(spark, sf):
     fresh = hashed(view(spark, sf, "documents")).dropDuplicates(["hash_id"])
     return fresh.join(hashed(view(spark, sf, "benchmark")).select("hash_id").distinct(), "hash_id", "left_anti").select(
         "hash_id", F.length("text").cast("long").alias("n"))
+
+
+NAME_THRESHOLD = 0.65
+
+
+@query("similar_names__gr6_jn13", with_views("names") + f""", t AS (SELECT text, row_number() OVER (ORDER BY text) AS id FROM (SELECT entity AS text FROM names UNION SELECT p_name FROM part UNION SELECT n_name FROM nation) x WHERE text IS NOT NULL),
+g AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, greatest(length(text), 1) + 1), lambda i: substring(' ' || text || ' ', i, 3))) AS gram FROM t) x GROUP BY id, gram),
+z AS (SELECT id, sum(n * n) AS size FROM g GROUP BY id), d AS (SELECT a.id AS ia, b.id AS ib, sum(a.n * b.n) AS dot FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id)
+SELECT x.text AS id_a, y.text AS id_b, round(dot / sqrt(CAST(p.size * q.size AS DOUBLE)), 6) AS similarity FROM d JOIN z p ON p.id = ia JOIN z q ON q.id = ib JOIN t x ON x.id = ia JOIN t y ON y.id = ib
+WHERE round(dot / sqrt(CAST(p.size * q.size AS DOUBLE)), 9) >= {NAME_THRESHOLD}""")
+def _(spark, sf):
+    names = view(spark, sf, "names").select(F.col("entity").alias("text")).unionByName(
+        view(spark, sf, "part").select(F.col("p_name").alias("text"))).unionByName(view(spark, sf, "nation").select(F.col("n_name").alias("text")))
+    return S.similar_texts(names, NAME_THRESHOLD, "text").select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))

@@ -50,7 +50,7 @@ SELECT md5(CAST(d.doc_id AS STRING)) AS id, d.doc_id,
             WHEN (d.doc_id * 7919) % 1000 + 100 < (d.doc_id * 104729) % 1000 THEN 'negative'
             ELSE 'neutral' END AS sentiment,
        CAST((d.doc_id * 17) % 100 AS DOUBLE) / 100 AS sentiment_confidence,
-       d.doc_id % 500 AS vec_id
+       d.doc_id % nullif((SELECT count(*) FROM {embeddings}), 0) AS vec_id
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "raw_articles": """
 SELECT page_id, md5(url) AS id, url AS doc_url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
@@ -124,6 +124,18 @@ SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'tool' ELSE role END AS role,
             THEN concat(replace(replace(replace(text, chr(92), ' '), chr(39), ' '), chr(10), ' '), chr(10), role)
             ELSE text END AS said
 FROM {conversations}""",
+    "news_results": """
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'decision_meta' ELSE 'news_sentiment_analyzer' END AS name,
+       CASE WHEN conv_id % 7 = 3 THEN concat(chr(123), '"evidence_news": [', clean)
+            WHEN (conv_id + turn) % 6 = 0 THEN concat(chr(123), '"error": null, "evidence_news": [', chr(123), '"title": "t"', chr(125), ']', chr(125))
+            WHEN (conv_id + turn) % 6 = 1 THEN concat(chr(123), '"target_date": "2024-01-05"', chr(125))
+            ELSE concat(chr(123), '"evidence_news": [', chr(123), '"title": "', role, ' ', CAST(turn AS STRING), '", "all_text": "', clean,
+                        '", "price_impact_score": ', CAST((conv_id * 7 + turn) % 21 - 10 AS STRING), '.5', chr(125), ', ',
+                        chr(123), '"all_text": "', substring(clean, 1, 20), '"', chr(125), ', ',
+                        chr(123), '"title": "no text", "price_impact_score": 0', chr(125), ']', chr(125)) END AS text
+FROM (SELECT conv_id, turn, role,
+             replace(replace(replace(replace(replace(text, chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(13), ' '), chr(9), ' ') AS clean
+      FROM {conversations}) c""",
     "forecasts": """
 SELECT p.commodity, p.date AS target_date, p.price AS actual_price,
        p.price * (1 + CAST(p.volume % 7 - 3 AS DOUBLE) / 100) AS forecast_price,
