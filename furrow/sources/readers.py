@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -47,15 +48,19 @@ def read_dated_json(spark: SparkSession, folder: str, start: str, end: str, pref
                     schema: str = schemas.RAW_NEWS) -> DataFrame:
     """The files `{prefix}YYYYMMDD.json` of the days in [start, end]; days without a file are skipped.
 
-    One listing serves the whole range, and the day is taken from the file's name.
+    The folder is listed once and only files of asked days are opened: the days are part of the path's pattern. The day of a
+    row, `file_day`, is taken from its file's name.
     """
-    first, last = check_date(start).strftime("%Y%m%d"), check_date(end).strftime("%Y%m%d")
+    first, last = check_date(start), check_date(end)
+    days = [(first + dt.timedelta(days=i)).strftime("%Y%m%d") for i in range((last - first).days + 1)]
+    if not days:
+        return spark.createDataFrame([], f"{schema}, file_day STRING")
 
     def read() -> DataFrame:
-        files = spark.read.schema(schema).json(f"{folder}/{prefix}*.json", multiLine=True, mode="DROPMALFORMED")
+        files = spark.read.schema(schema).json(f"{folder}/{prefix}{{{','.join(days)}}}.json", multiLine=True, mode="DROPMALFORMED")
         return files.select("*", F.regexp_extract("_metadata.file_name", rf"{prefix}(\d{{8}})\.json", 1).alias("file_day"))
 
-    return _or_empty(spark, f"{schema}, file_day STRING", read).where(F.col("file_day").between(first, last))
+    return _or_empty(spark, f"{schema}, file_day STRING", read)
 
 
 def read_table(spark: SparkSession, path: str, date_col: str | None = None, start: str | None = None, end: str | None = None,

@@ -36,6 +36,9 @@ def test_dated_files_skip_missing_days(spark, tmp_path):
         land(tmp_path / "d", f"processed_news_{d}.json", [article(int(d[-1]))])
     got = RD.read_dated_json(spark, str(tmp_path / "d"), "2024-01-01", "2024-01-05").collect()
     assert sorted((r["id"], r["file_day"]) for r in got) == [("a1", "20240101"), ("a3", "20240103")]
+    asked = RD.read_dated_json(spark, str(tmp_path / "d"), "2024-01-02", "2024-01-05")
+    assert [f.rsplit("/", 1)[1] for f in asked.inputFiles()] == ["processed_news_20240103.json"]
+    assert RD.read_dated_json(spark, str(tmp_path / "d"), "2024-01-05", "2024-01-01").count() == 0
     assert RD.read_dated_json(spark, str(tmp_path / "none"), "2024-01-01", "2024-01-05").count() == 0
 
 
