@@ -103,18 +103,19 @@ def _(spark, sf):
     return day(reports.select("commodity", "date", F.to_json(F.struct("metadata", "prediction", "model_consensus", "evidence", "market_analysis")).alias("report")))
 
 
-# The given series are shorter than the default window of 1 825 rows at small scales.
-WINDOW = 250
+# The given series are shorter than the window of 1 825 rows at small scales: their origins take all rows before them, a year of
+# trading days at least.
+LEAST_WINDOW = 250
 
 
 def _timeseries(spark, sf, start=None):
-    return FC.timeseries_features(view(spark, sf, "px_long"), NAMES, window=WINDOW, start=start)
+    return FC.timeseries_features(view(spark, sf, "px_long"), NAMES, start=start, least_window=LEAST_WINDOW)
 
 
 @query("walk_forward_forecast__ml5")
 def _(spark, sf):
     series = FC.forecast_series(view(spark, sf, "px_long"), NAMES)
-    out = M.walk_forward_forecast(series, ["volume_lag", "ema_lag", *[f"{p}_close_lag" for p in NAMES.values()]], WINDOW)
+    out = M.walk_forward_forecast(series, ["volume_lag", "ema_lag", *[f"{p}_close_lag" for p in NAMES.values()]], FC.WINDOW_ROWS, least_window=LEAST_WINDOW)
     return day(out.select("commodity", "ds", "y", "y_next", F.round("yhat", 2).alias("yhat"), F.round("trend", 2).alias("trend")), "ds")
 
 
