@@ -54,6 +54,24 @@ def _(spark, sf):
     return day(spark.read.schema("commodity STRING, date DATE, close DOUBLE, ema DOUBLE").parquet(path).select("commodity", "date", F.round("ema", 4).alias("ema")))
 
 
+@query("late_bars_average__str5", with_views("px_daily").replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT commodity, date, close, row_number() OVER (PARTITION BY commodity ORDER BY date) AS i, day(date) % 4 = 3 OR date >= DATE '2024-01-15' AS second FROM px_daily),
+e AS (SELECT commodity, date, i, second, close AS ema FROM s WHERE i = 1 UNION ALL SELECT s.commodity, s.date, s.i, s.second, 2.0/21 * s.close + (1 - 2.0/21) * e.ema FROM e JOIN s ON s.commodity = e.commodity AND s.i = e.i + 1),
+t AS (SELECT commodity, min(date) AS changed, count(*) FILTER (NOT second) > 0 AS both FROM (SELECT commodity, second, CASE WHEN second THEN date END AS date FROM s) GROUP BY commodity)
+SELECT commodity, CAST(date AS STRING) AS date, round(ema, 4) AS ema, CAST(CASE WHEN second THEN 1 WHEN date >= changed THEN 2 ELSE 1 END AS BIGINT) AS times_given FROM e JOIN t USING (commodity)""")
+def _(spark, sf):
+    bars, landed = view(spark, sf, "px_daily").select("commodity", "date", "close"), scratch_path(spark, "bars")
+    # Every fourth day lands with the second half, after days that follow it.
+    second = (F.dayofmonth("date") % 4 == 3) | (F.col("date") >= F.lit("2024-01-15").cast("date"))
+    path, state = scratch_path(spark, "ema"), scratch_path(spark, "state")
+    for part in (bars.where(~second), bars.where(second)):
+        part.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(bars.schema).parquet(landed)
+        _drain(SB.running_ema(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start())
+    given = spark.read.schema("commodity STRING, date DATE, close DOUBLE, ema DOUBLE, revision BIGINT").parquet(path)
+    times = given.groupBy("commodity", "date").agg(F.count(F.lit(1)).alias("times_given"))
+    return day(SB.latest_revision(given).join(times, ["commodity", "date"]).select("commodity", "date", F.round("ema", 4).alias("ema"), "times_given"))
+
+
 @query("merged_daily_bar__str5", with_views("px_daily").replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT commodity, date, close, row_number() OVER (PARTITION BY commodity ORDER BY date) AS i FROM px_daily WHERE date <= DATE '2024-01-20'),
 e AS (SELECT commodity, date, i, close AS ema FROM s WHERE i = 1 UNION ALL SELECT s.commodity, s.date, s.i, 2.0/21 * s.close + (1 - 2.0/21) * e.ema FROM e JOIN s ON s.commodity = e.commodity AND s.i = e.i + 1)
 SELECT commodity, CAST(date AS STRING) AS date, CASE WHEN date = DATE '2024-01-20' THEN round(ema, 4) ELSE 0.0 END AS ema FROM e""")
