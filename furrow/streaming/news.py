@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from furrow import schemas
 from furrow.operators.joins import unseen
@@ -54,6 +56,57 @@ def exact_dedup(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _first_of_batches(keys: list[str], order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first row per key within each Arrow batch, nulls first, so that few rows of a frequent key are shuffled."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordered = batch.take(pc.sort_indices(batch.select(order), [(c, "ascending") for c in order], null_placement="at_start"))
+            yield ordered.filter(pa.array(~ordered.select(keys).to_pandas().duplicated().to_numpy()))
+
+    return reduce
+
+
+class FirstRow(StatefulProcessor):
+    """Gives a key's first row by `order` among those of the batch it appears in, and nothing for it afterwards."""
+
+    def __init__(self, order: Sequence[str]):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen BOOLEAN")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield min(rows, key=lambda row: [(row[c] is not None, row[c]) for c in self.order])
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_in_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """The rows of `exact_dedup` without reading what was written: the keys seen are in the state store.
+
+    A batch looks up its own keys only, so its work does not grow with the history; a key takes its bytes and a flag in
+    RocksDB, in incremental checkpoints. The state is kept for ever; `once_within` bounds it. Rows of one key with equal order are interchangeable. The sink's log makes a batch run again after a failure count once.
+    """
+    spark = stream.sparkSession
+    few = stream.mapInArrow(_first_of_batches(keys, order), stream.schema)
+    first = few.groupBy(*keys).transformWithState(FirstRow(order), stream.schema, "Append", "None")
+    writer = first.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # a query takes the settings of its start
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def ingest(stream: DataFrame, root: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] = I.extract_by_rule,
            dimensions: int = 512) -> StreamingQuery:
     """Hourly job: new articles through gates and extractor into articles, entities, triples and the triple map."""

@@ -89,6 +89,16 @@ def _(spark, sf):
     return spark.read.schema("id STRING, batch_id BIGINT").parquet(path).select("id")
 
 
+@query("state_dedup__str2", "SELECT md5(text) AS id, doc_id, CAST(length(text) AS INT) AS chars FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id % 2, doc_id) = 1")
+def _(spark, sf):
+    path, state, landed = scratch_path(spark, "dedup"), scratch_path(spark, "state"), scratch_path(spark, "landed")
+    rows = view(spark, sf, "documents").select(F.md5("text").alias("id"), "doc_id", F.length("text").alias("chars"))
+    for part in (0, 1):  # two landings: copies of a text come in both
+        rows.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(landed)
+        _drain(SN.dedup_in_state(spark.readStream.schema(rows.schema).parquet(landed), path, state, ["id"], ["doc_id"]))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query("streamed_quarantine__str8", "SELECT event_id, 'value' AS errors FROM events WHERE NOT value > 5")
 def _(spark, sf):
     good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
