@@ -89,10 +89,16 @@ def _fits(rule: str) -> str:
 @query("op2_url_filters", rf"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-ruled AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(url_filters.HOST_RULES, key=lambda x: -len(x[1])))} END AS rule FROM p)
+parts AS (SELECT *, string_split(array_to_string(list_transform(regexp_extract_all(path, '%[0-9A-Fa-f]{{2}}|[^%]+|%'),
+    lambda t: CASE WHEN regexp_full_match(t, '{url_filters.ESCAPE.pattern}') THEN chr(CAST('0x' || substr(t, 2) AS INT)) ELSE t END), ''), '/')[2:] AS part FROM p),
+q AS (SELECT page_id, host, path, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\.+$', '') ||
+             CASE WHEN path = '' THEN '' ELSE '/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(part, lambda s: [s])),
+                 lambda kept, s: CASE s[1] WHEN '.' THEN kept WHEN '..' THEN list_slice(kept, 1, len(kept) - 1) ELSE list_concat(kept, s) END) ||
+                 CASE WHEN part[-1] IN ('.', '..') THEN [''] ELSE [] END, '/') END AS address FROM parts),
+ruled AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for _, r in sorted(url_filters.HOST_RULES, key=lambda x: -len(x[1])))} END AS rule FROM q)
 SELECT page_id, host, path, rule,
        CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in url_filters.HOST_RULES)}
-            WHEN regexp_matches(host || path, '(?s)^adult[^/]*/|^[^/]*\.adult[^/]*/|/login[^/]*$|/signin[^/]*$|/ads/|/[^/]*\.exe$') THEN 'block'
+            WHEN regexp_matches(address, '(?s)^adult[^/]*/|^[^/]*\.adult[^/]*/|/login[^/]*$|/signin[^/]*$|/ads/|/[^/]*\.exe$') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM ruled""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

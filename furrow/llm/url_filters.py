@@ -2,8 +2,12 @@
 
 All glob rules are packed into one multiword Shift-And machine: a bit per pattern position, a mask of accepting bits per
 character class, and a mask of the positions that a wildcard lets wait. One step reads one character of every URL of a
-batch against all patterns at once. What is matched is the canonical URL: the lower-cased host followed by the path, so
-its first slash ends the host. In globs, `**` is any run of characters, `*` any run without a slash, `?` one character
+batch against all patterns at once.
+
+Host rules are matched with the host and path as given. The globs are matched with a canonical URL, so that other
+spellings of an address do not pass them: the host without user part, port and trailing dots, then the path with escapes
+of letters, digits and `-._~` decoded once and its `.` and `..` segments resolved. Escapes of other characters and the case
+of paths stay, as they tell addresses apart. The first slash ends the host in both. In globs, `**` is any run of characters, `*` any run without a slash, `?` one character
 other than a slash.
 
 Null URLs, and those without `://`, have an empty host and path, which only globs that match the empty string fit.
@@ -25,6 +29,8 @@ from furrow.llm.common import with_results
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Globs that decide where no host rule fits: any of them blocks.
 BLOCKED = ("adult*/**", "*.adult*/**", "**/login*", "**/signin*", "**/ads/**", "**/*.exe")
+#: Escapes of characters that need none.
+ESCAPE = re.compile("%(2[DdEe]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])")
 #: Characters of URLs that are laid out together.
 SPAN = 2_000_000
 
@@ -114,10 +120,27 @@ def split_url(url: str | None) -> tuple[str, str]:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), host), path
 
 
+def canonical(host: str, path: str) -> str:
+    """One spelling of an address, of its host and path."""
+    host = re.sub(r":[0-9]*\Z", "", host[host.rfind("@") + 1:]).rstrip(".")
+    if "%" in path:
+        path = ESCAPE.sub(lambda m: chr(int(m[1], 16)), path)
+    if "/." in path:
+        kept: list[str] = []
+        parts = path.split("/")[1:]
+        for part in parts:
+            if part == "..":
+                del kept[-1:]
+            elif part != ".":
+                kept.append(part)
+        path = "/" + "/".join(kept + [""] * (parts[-1] in (".", "..")))
+    return host + path
+
+
 def judge_batch(urls: list[str | None], host_rules: tuple, blocked: tuple) -> list[tuple[str, str, str | None, str]]:
     """Host, path, rule and verdict of each URL."""
     own = globs_of(host_rules)
-    machine = Machine([g.pattern for g in own] + list(blocked))
+    rules, globs = Machine([g.pattern for g in own]), Machine(list(blocked))
     places = [split_url(u) for u in urls]
     # The longest rule comes first; of equals, the earlier one.
     rank = np.array([(-len(host_rules[g.rule][1]), g.rule) for g in own], np.int64).reshape(-1, 2)
@@ -128,10 +151,10 @@ def judge_batch(urls: list[str | None], host_rules: tuple, blocked: tuple) -> li
         while end < len(places) and (end == start or held + len(places[end][0]) + len(places[end][1]) <= SPAN):
             held += len(places[end][0]) + len(places[end][1])
             end += 1
-        hit = machine.match([h + p for h, p in places[start:end]])
-        ruled, block = hit[:, order], hit[:, len(own):].any(axis=1)
-        some = ruled.any(axis=1) if own else np.zeros(len(hit), bool)
-        best = order[ruled.argmax(axis=1)] if own else np.zeros(len(hit), np.int64)
+        ruled = rules.match([h + p for h, p in places[start:end]])[:, order]
+        block = globs.match([canonical(h, p) for h, p in places[start:end]]).any(axis=1)
+        some = ruled.any(axis=1) if own else np.zeros(len(block), bool)
+        best = order[ruled.argmax(axis=1)] if own else np.zeros(len(block), np.int64)
         for (host, path), found, at, bad in zip(places[start:end], some.tolist(), best.tolist(), block.tolist()):
             verdict, rule = host_rules[own[at].rule] if found else ("block" if bad else "allow", None)
             out.append((host, path, rule, verdict))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -44,6 +45,28 @@ def test_url_verdicts(spark):
     assert url_filters.judged(df, host_rules=(), blocked=()).where("verdict = 'allow' AND rule IS NULL").count() == len(rows)
 
 
+def test_globs_see_canonical_addresses(spark):
+    assert url_filters.canonical("u:p@adult.net.:80", "/%6Cog%69n/%2F/a/../b/./%25%36c%zz/..") == "adult.net/login/%2F/b/"
+    assert url_filters.canonical("a@b@c:x", "") == "c:x" and url_filters.canonical("h", "/../../.a/...") == "h/.a/..."
+    cases = {
+        "http://b.net/%6Cogin": "block", "http://b.net/%4cogin": "allow", "http://b.net/x/../login": "block", "http://b.net/login/..": "allow",
+        "http://u@adult.net/x": "block", "http://adult@b.net/x": "allow", "http://adult.net./x": "block", "http://b.net/a%2Fads/x": "allow",
+        "http://b.net/%61d%73/x": "block", "http://b.net/x%2Eexe": "block", "http://b.net/%256cogin": "allow", "http://b.net/ads/../x": "allow",
+        "http://b.net/./ads/x": "block", "http://b.net/%": "allow", "http://b.net/..\n/login%0A": "block", "http://com:80/de/": "allow", "http://:7/login": "block",
+        "http://a.com/de/../fr/": "block",  # rules see host and path as given
+    }
+    pieces = ["/", "..", ".", "%2e", "%2F", "login", "%6Cogin", "ads", "%", "a", "é", "@", ":8", "adult", ".exe", "?", "\n", "com/fr/", "%%36c"]
+    rng = random.Random(4)
+    urls = [*cases, *("http://" + "".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(1500))]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judged(df).collect()}
+    assert [got[i][3] for i in range(len(cases))] == list(cases.values())
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLES['op2_url_filters']})").fetchall()}
+    assert got == want and {v[3] for v in got.values()} == {"allow", "block"}
+
+
 def exact(rows, k):
     """Nearest of the queries by brute force."""
     good = {i: np.array(v, np.float64) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)}
