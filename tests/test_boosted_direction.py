@@ -18,6 +18,28 @@ def test_trees_learn_what_no_single_feature_tells():
     assert (chance == M.boosted_probability(x, y, part)).all()
 
 
+def test_missing_values_go_where_the_loss_is_less():
+    rng = np.random.default_rng(2)
+    part = np.where(np.arange(1500) < 1000, "train", np.where(np.arange(1500) < 1250, "val", "test"))
+    gone = rng.random((1500, 2)) < 0.4
+    x = np.column_stack([np.where(gone, np.nan, rng.normal(size=(1500, 2))), np.full(1500, np.nan)])
+    right = lambda y: ((M.boosted_probability(x, y.astype(float), part) > 0.5) == y)[part == "test"].mean()
+    # Zero lies in the middle of the present values: put there, missing ones could not be told apart.
+    assert right(gone[:, 0]) == 1
+    assert right(gone[:, 0] ^ gone[:, 1]) > 0.97
+    # Missing like the great ones, and like the small ones.
+    assert right(gone[:, 0] | (x[:, 0] > 0.5)) > 0.97 and right(gone[:, 0] | (x[:, 0] < -0.5)) > 0.97
+
+
+def test_null_features_are_missing(spark):
+    rows = spark.range(900).selectExpr("'a' AS commodity", "date_add(DATE '2018-01-01', CAST(id AS INT)) AS ds", "CAST(pmod(xxhash64(id), 2) AS INT) AS direction",
+                                       "pmod(xxhash64(id, 'x'), 101) - 50.0 AS noise")
+    rows = rows.withColumn("x", F.when(F.col("direction") == 1, F.col("noise")))
+    told = rows.orderBy(F.desc("ds")).first()
+    got = M.boosted_direction(W.sliding_split(rows, str(told.ds), date_col="ds"), ["x"], ["a"]).first()
+    assert got.forecast_direction == ("Up" if told.direction else "Down") and got.confidence_score > 95
+
+
 def test_every_commodity_is_fitted_in_one_job_on_its_whole_window(spark):
     # What the direction follows changes 700 rows before the end: older rows must be learnt from to know the test day's case.
     rows = spark.range(1400).selectExpr("id", "explode(array('a', 'b', 'c')) AS commodity").selectExpr(
