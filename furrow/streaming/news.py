@@ -93,7 +93,8 @@ def dedup_in_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str
     """The rows of `exact_dedup` without reading what was written: the keys seen are in the state store.
 
     A batch looks up its own keys only, so its work does not grow with the history; a key takes its bytes and a flag in
-    RocksDB, in incremental checkpoints. The state is kept for ever; `once_within` bounds it. Rows of one key with equal order are interchangeable. The sink's log makes a batch run again after a failure count once.
+    RocksDB, in incremental checkpoints. The state is kept for ever; `once_within` bounds it. Rows of one key with equal
+    order are interchangeable. The sink's log makes a batch run again after a failure count once.
     """
     spark = stream.sparkSession
     few = stream.mapInArrow(_first_of_batches(keys, order), stream.schema)
