@@ -185,11 +185,33 @@ def sliding_split(df: DataFrame, target: str, window: int = 1500, train_share: f
     )
 
 
-def chronological_split(df: DataFrame, key: str = "commodity", date_col: str = "date", train_share: float = 0.8) -> DataFrame:
+def sliding_splits(df: DataFrame, targets: DataFrame, window: int = 1500, train_share: float = 0.8, min_rows: int = 400,
+                   key: str = "commodity", date_col: str = "date", target_col: str = "target_date") -> DataFrame:
+    """`sliding_split` for many target days at once: a row comes once for each target (key, date) whose window it lies in.
+
+    Rows and targets meet in blocks of `window` rows of a key: a target finds its window in its own block and the one before.
+    """
+    at = by_date(key, date_col)
+    indexed = df.withColumn("idx", F.row_number().over(at) - 1)
+    asked = indexed.select(key, date_col, F.col("idx").alias("_t")).join(targets.select(key, date_col).distinct(), [key, date_col])
+    asked = asked.where(F.col("_t") >= min_rows).select(
+        key, F.col(date_col).alias(target_col), "_t", F.floor(F.col("_t") / window).alias("_block"))
+    block = F.floor(F.col("idx") / window)
+    start = F.greatest(F.lit(0), F.col("_t") - window)
+    cut = start + F.floor((F.col("_t") - start) * train_share)
+    split = F.when(F.col("idx") == F.col("_t"), "test").when(F.col("idx") < cut, "train").otherwise("val")
+    met = indexed.withColumn("_block", F.explode(F.array(block, block + 1))).join(asked, [key, "_block"])
+    return met.where((F.col("idx") <= F.col("_t")) & (F.col("idx") >= start)).withColumn("split", split).drop("_t", "_block")
+
+
+def chronological_split(df: DataFrame, key: str = "commodity", date_col: str = "date", train_share: float = 0.8,
+                        val_share: float = 0.0) -> DataFrame:
+    """The first rows of a key marked train, the others test; with `val_share`, the last of the training rows are marked val."""
     w, whole = by_date(key, date_col), Window.partitionBy(key)
     position = F.row_number().over(w)
     cut = F.floor(F.count(F.lit(1)).over(whole) * train_share)
-    return df.withColumn("split", F.when(position <= cut, "train").otherwise("test"))
+    fitted = F.floor(cut * (1 - val_share))
+    return df.withColumn("split", F.when(position <= fitted, "train").when(position <= cut, "val").otherwise("test"))
 
 
 def scaled_size(df: DataFrame, value: str, out: str, key: str = "commodity", span: float = 42, base: float = 8) -> DataFrame:

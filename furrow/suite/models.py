@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from furrow.functions import sentiment as X
 from furrow.operators import aggregates as A
 from furrow.operators import models as M
 from furrow.operators import windows as W
@@ -84,11 +87,25 @@ def _(spark, sf):
     return day(_features(spark, sf).select("commodity", "date", F.size("features").alias("dimensions"), F.round(total, 4).alias("total")))
 
 
+def _trained(spark, sf):
+    return NM.train(NM.training_rows(_features(spark, sf), view(spark, sf, "px_daily")))
+
+
 def _voted(spark, sf):
-    bars = view(spark, sf, "px_daily")
-    rows = NM.training_rows(_features(spark, sf), bars)
-    models, scaled = NM.train(rows)
-    return NM.predict(models, scaled)
+    training = _trained(spark, sf)
+    return NM.predict(training.models, training.scaled)
+
+
+@query("model_rounds__ml3")
+def _(spark, sf):
+    told = [F.round(c, 6).alias(c) for c in ("train_accuracy", "val_accuracy")]
+    return NM.rounds_table(_trained(spark, sf)).select("model", "round", "max_iter", *told, "chosen")
+
+
+@query("model_evaluation__ml3")
+def _(spark, sf):
+    told = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")]
+    return NM.evaluation(_voted(spark, sf)).select("model", "label", "support", *told)
 
 
 @query("ensemble_predictions__ml3_ml4")
@@ -99,7 +116,7 @@ def _(spark, sf):
 
 @query("prediction_reports__ml7")
 def _(spark, sf):
-    reports = MR.prediction_reports(_voted(spark, sf), view(spark, sf, "news"), view(spark, sf, "px_daily"))
+    reports = MR.prediction_reports(_voted(spark, sf), _named_news(spark, sf), view(spark, sf, "px_daily"))
     return day(reports.select("commodity", "date", F.to_json(F.struct("metadata", "prediction", "model_consensus", "evidence", "market_analysis")).alias("report")))
 
 
@@ -135,9 +152,14 @@ def _(spark, sf):
     return day(_directions(spark, sf).select("commodity", "ds", "forecast_direction", F.round("confidence_score", 4).alias("confidence_score")), "ds")
 
 
+def _named_news(spark, sf):
+    """All columns of the news, with the names and triples that the rules find; the given status stays."""
+    found = I.extract_by_rule(view(spark, sf, "news").withColumn("_status", F.col("filter_status")))
+    return found.withColumn("filter_status", F.col("_status")).drop("_status")
+
+
 def _extracted(spark, sf):
-    news = view(spark, sf, "news").select("id", "commodity", "publish_ts", "title", "all_text", "filter_status")
-    return I.extract_by_rule(news.withColumn("_status", F.col("filter_status"))).withColumn("filter_status", F.col("_status")).drop("_status")
+    return _named_news(spark, sf).select("id", "commodity", "publish_ts", "title", "all_text", "filter_status", "named_entities", "triples")
 
 
 @query("keyword_analysis__gr6")
@@ -179,13 +201,35 @@ def _(spark, sf):
     return day(day(past.select("commodity", "date", "rank", "publish_date", "text_prefix", "price_0", "price_1", "price_3")), "publish_date")
 
 
+#: The series of the orders stand for the prices of these news; their last day becomes this one.
+SERIES = {"1-URGENT": "click", "2-HIGH": "error", "3-MEDIUM": "purchase", "4-NOT SPECIFIED": "signup", "5-LOW": "view"}
+LAST_DAY = datetime.date(2024, 1, 30)
+
+
+def _daily_directions(spark, sf, first="2024-01-01"):
+    """(commodity, target_date, forecast_direction, confidence_score, yhat): the direction forecast of every day from `first` on."""
+    features = cut_lineage(_timeseries(spark, sf))
+    last = features.agg(F.max("ds")).first()[0] or LAST_DAY
+    names = F.create_map(*[F.lit(x) for pair in SERIES.items() for x in pair])
+    moved = features.withColumns({"commodity": F.element_at(names, F.col("commodity")), "ds": F.date_add("ds", (LAST_DAY - last).days)})
+    targets = moved.where(F.col("ds") >= F.lit(first).cast("date")).select("commodity", "ds")
+    return FC.predict_directions(moved, targets, [SERIES[n] for n in NAMES]).select("commodity", "target_date", "forecast_direction", "confidence_score", "yhat")
+
+
+@query("daily_directions__ml6")
+def _(spark, sf):
+    out = _daily_directions(spark, sf)
+    return day(out.select("commodity", "target_date", "forecast_direction", F.round("confidence_score", 4).alias("confidence_score")), "target_date")
+
+
 @query("market_records__ml8")
 def _(spark, sf):
-    news, bars = view(spark, sf, "news"), view(spark, sf, "px_daily")
+    news, bars = cut_lineage(_named_news(spark, sf)), view(spark, sf, "px_daily")
     reports = MR.prediction_reports(_voted(spark, sf), news, bars)
-    forecasts = view(spark, sf, "forecasts").select(
-        "commodity", "target_date", F.when(F.col("direction") == 1, "Up").otherwise("Down").alias("forecast_direction"), F.lit(50.0).alias("confidence_score"), F.col("forecast_price").alias("yhat"))
-    target = "2024-01-20"
-    entities = KW.analyse(_extracted(spark, sf), target, days=20, with_triples=False).entities
-    records = MR.market_records(forecasts, reports, entities.withColumn("date", F.lit(target).cast("date")), _past_news(spark, sf))
+    found = KW.analyse_days(news, bars.select("commodity", "date"))
+    vectors = X.hashed_embedding(I.triple_rows(news).withColumnRenamed("text", "triple_text"), "triple_text", 256)
+    bridge = I.triple_article_map(news.withColumn("publish_date", F.col("publish_ts")))
+    dated = news.select("id", F.to_date("publish_ts").alias("publish_date"), "all_text", F.col("title").alias("description"))
+    past = PN.past_news(found.triples, cut_lineage(vectors.where(F.col("embedding").isNotNull())), bridge, dated, bars)
+    records = MR.market_records(_daily_directions(spark, sf), reports, found.entities, past)
     return day(records.select("commodity", "date", F.to_json(F.struct("timeseries", "news", "keywords", "past_news")).alias("record")))

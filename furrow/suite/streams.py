@@ -14,7 +14,7 @@ from furrow.streaming import bars as SB
 from furrow.streaming import news as SN
 from furrow.suite import query
 from furrow.suite.ingestion import now
-from furrow.suite.models import _voted
+from furrow.suite.models import _daily_directions, _voted
 from furrow.suite.prices import day
 from furrow.suite.views import view, with_views
 
@@ -136,7 +136,7 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch_path(spark, "published")
     reports = MR.prediction_reports(_voted(spark, sf), view(spark, sf, "news"), view(spark, sf, "px_daily"))
-    forecasts = view(spark, sf, "forecasts").select("commodity", "target_date", F.when(F.col("direction") == 1, "Up").otherwise("Down").alias("forecast_direction"), F.lit(50.0).alias("confidence_score"))
+    forecasts = _daily_directions(spark, sf).drop("yhat")
     DL.publish(forecasts, reports, root)
     count = lambda name: spark.read.parquet(f"{root}/{name}").agg(F.lit(name).alias("target_table"), F.count(F.lit(1)).alias("rows"))
     return count("prediction_timeseries").union(count("prediction_news_sentiment")).union(count("sentiment_result_pos_neg"))
