@@ -124,11 +124,10 @@ def _(spark, sf):
     rows = I.standard_rows(view(spark, sf, "raw_articles"), now(), backfill=True)
     rows.select(F.to_json(F.struct("*")).alias("value")).repartition(8).write.text(landed, lineSep="\n")
     stream_rows = spark.read.schema(schemas.RAW_NEWS).json(landed)
-    kept = stream_rows.withColumn("day", F.to_date("publish_date")).where(F.col("day").between(F.lit("2024-01-03").cast("date"), F.lit("2024-01-12").cast("date")))
     from furrow.sources.writers import replace_slices
 
     for _ in range(2):
-        replace_slices(I.once_per_article(kept, "publish_date").repartition("day"), path, ["day"])
+        replace_slices(SN.articles_by_day(stream_rows, "2024-01-03", "2024-01-12").repartition("day"), path, ["day"])
     return day(spark.read.schema("id STRING, day DATE").parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("articles")), "day")
 
 
