@@ -103,10 +103,10 @@ FROM step LEFT JOIN b ON b.place = step.place + 1 WHERE step.place < (SELECT cou
 l AS (SELECT leads FROM step ORDER BY place DESC LIMIT 1), f AS (SELECT o.*, coalesce(list_min(list_intersect(leads, coalesce(befores, []::BIGINT[]))), o.place) AS leader FROM o CROSS JOIN l LEFT JOIN b ON b.place = o.place),
 r AS (SELECT leader, arg_min(word, length(word) * 100000000 + vec_id) AS representative FROM f GROUP BY leader) SELECT word, representative FROM f JOIN r USING (leader)""")
 def _(spark, sf):
-    vectors = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"))
+    vectors = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), "embedding")
     vectors = vectors.withColumn("turn", G.free_order(F.col("id")))
-    leaders = G.cluster_leaders(vectors, _pairs(spark, sf), order="turn")
-    return G.representatives(vectors, leaders, "word")
+    leaders = S.similar_leaders(vectors, THRESHOLD, "id", order="turn")
+    return G.representatives(vectors.drop("embedding"), leaders, "word")
 
 
 @query("new_text_hashes__jn12_fn2", """WITH ex AS (SELECT vec_id, label FROM embeddings), docs AS (SELECT unnest(string_split(text, chr(10))) AS piece FROM documents), h AS (SELECT DISTINCT 'entity-' || md5(trim(piece)) AS hash_id, trim(piece) AS text FROM docs WHERE trim(piece) <> ''),
