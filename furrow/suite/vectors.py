@@ -72,8 +72,9 @@ def _(spark, sf):
     return vectors.select("vec_id", (F.round(best, 6) + 0.0).alias("similarity"), (best >= THRESHOLD).cast("int").alias("matches"))
 
 
-def _pairs(spark, sf):
-    return S.similar_pairs(view(spark, sf, "embeddings"), THRESHOLD, "vec_id", shard_rows=2048)
+def _components(spark, sf):
+    vectors = view(spark, sf, "embeddings")
+    return G.connected_components(S.similar_links(vectors, THRESHOLD, "vec_id", shard_rows=2048), vectors, id_col="vec_id")
 
 
 COMPONENTS = PAIRS.replace("WITH e", "WITH RECURSIVE e", 1) + """, both_ways AS (SELECT id_a AS u, id_b AS w FROM pairs UNION SELECT id_b, id_a FROM pairs),
@@ -82,7 +83,7 @@ reach AS (SELECT vec_id AS id, vec_id AS other FROM e UNION SELECT r.id, b.w FRO
 
 @query("similarity_components__gr3", COMPONENTS + " SELECT vec_id, component FROM comp")
 def _(spark, sf):
-    return G.connected_components(_pairs(spark, sf), view(spark, sf, "embeddings"), id_col="vec_id")
+    return _components(spark, sf)
 
 
 @query("cluster_heads__top4", COMPONENTS + """, imp AS (SELECT c.component, c.vec_id, e.label, e.v[1] AS importance FROM comp c JOIN e ON e.vec_id = c.vec_id),
@@ -91,7 +92,7 @@ SELECT vec_id, round(importance, 6) AS importance FROM h WHERE place = 1 ORDER B
 def _(spark, sf):
     vectors = view(spark, sf, "embeddings")
     weighted = vectors.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("importance"))
-    joined = G.connected_components(_pairs(spark, sf), vectors, id_col="vec_id").join(weighted, "vec_id")
+    joined = _components(spark, sf).join(weighted, "vec_id")
     heads = joined.groupBy("component").agg(F.max_by(F.struct("vec_id", "importance"), F.struct("importance", -F.col("vec_id"))).alias("h")).select("h.*")
     return K.top_rows(heads, [F.col("importance").desc(), F.col("vec_id")], 10).select("vec_id", F.round("importance", 6).alias("importance"))
 
