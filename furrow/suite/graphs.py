@@ -69,20 +69,24 @@ ents AS (SELECT s AS entity FROM nt UNION SELECT o FROM nt), pl AS (SELECT entit
 fin AS (SELECT coalesce(a.singular, nt.s) AS s, nt.v, coalesce(b.singular, nt.o) AS o, raw_s, raw_o, n FROM nt LEFT JOIN pl a ON a.entity = nt.s LEFT JOIN pl b ON b.entity = nt.o)"""
 
 
-def line_triples(spark, sf):
-    """Every three words of every document line, from its start on, counted."""
+def line_threes(spark, sf):
+    """Every three words of every document line, from its start on."""
     words = F.split(F.trim("line"), " +")
     lines = view(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(words.alias("w")).where(F.size("w") >= 3)
     threes = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), lambda i: F.slice("w", 3 * i + 1, 3))
-    return lines.select(F.explode(threes).alias("w")).groupBy(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate("svo")]).agg(F.count(F.lit(1)).alias("n"))
+    return lines.select(F.explode(threes).alias("w")).select(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate("svo")])
+
+
+def line_triples(spark, sf):
+    return line_threes(spark, sf).groupBy("s", "v", "o").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("plural_merge__jn15", NORMAL + " SELECT entity, singular FROM pl")
 def _(spark, sf):
-    raw = line_triples(spark, sf)
+    raw = line_threes(spark, sf)
     valid = raw.where(TX.is_valid_entity(F.col("s")) & TX.is_valid_entity(F.col("o")))
-    named = valid.withColumns({"s": TX.graph_entity(F.col("s")), "o": TX.graph_entity(F.col("o"))})
-    return G.plural_map(G.entities_of(named))
+    # Names are made once for each different word, not for each triple, and are needed twice.
+    return G.plural_map(cut_lineage(G.entities_of(valid).select(TX.graph_entity(F.col("entity")).alias("entity")).distinct()))
 
 
 @query("normalised_triples__gr5_jn14", NORMAL + " SELECT s, v, o, raw_s, raw_o, n FROM fin")
