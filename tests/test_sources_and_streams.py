@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,19 @@ def test_backfill_is_idempotent(spark, tmp_path):
     for _ in range(2):
         SN.backfill(spark, str(tmp_path / "b"), "2024-01-02", "2024-01-03", str(tmp_path / "out"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a1", "a2"]
+
+
+def test_ingestion_searches_a_text_once_and_writes_plain_vectors(spark, tmp_path):
+    land(tmp_path / "landed", "1.json", [article(1), article(2)])
+    rows = RD.read_json_arrays(spark, str(tmp_path / "landed"))
+    plan = I.process(rows, spark.createDataFrame([], "id STRING"), "publish_date")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    before, root = spark.conf.get(WR.LEGACY_LISTS), str(tmp_path / "tables")
+    SN.ingest(SN.landed_news(spark, str(tmp_path / "landed")), root, str(tmp_path / "state"), dimensions=256).awaitTermination()
+    assert spark.conf.get(WR.LEGACY_LISTS) == before
+    for name, made in (("entities", I.entity_rows), ("triples", I.triple_rows)):
+        files = list((tmp_path / "tables" / name).rglob("*.parquet"))
+        assert files and all("repeated double" in str(pq.ParquetFile(f).schema) for f in files)
+        want = WR.vector_rows(I.new_vectors(made(I.extract_by_rule(rows)), spark.createDataFrame([], "hash_id STRING")))
+        back = spark.read.schema(schemas.TEXT_VECTORS).parquet(f"{root}/{name}").drop("batch_id")
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect())) and back.count()
