@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import text as TX
-from furrow.session import cut_lineage
+from furrow.session import cut_lineage, shuffled_for
 
 # Edge weights by kind of verb.
 LOW_VERB_WEIGHT, STANCE_WEIGHT, PRICE_DEMAND_WEIGHT, DEFAULT_WEIGHT = 0.05, 1.0, 0.8, 1.0
@@ -29,6 +29,7 @@ PRICE_DEMAND_DESCRIPTIONS = [
 STANCE_TERMS = [t for d in STANCE_DESCRIPTIONS for t in d.split(", ")]
 PRICE_DEMAND_TERMS = [t for d in PRICE_DEMAND_DESCRIPTIONS for t in d.split(", ")]
 SIMILARITY_THRESHOLD, TRIPLE_THRESHOLD = 0.65, 0.68
+BROADCAST_PLURALS = 200_000
 
 
 def edge_weight(verb: Column, is_stance: Column, is_price_demand: Column) -> Column:
@@ -161,12 +162,20 @@ def triple_keywords(touching: DataFrame, text: str = "triple_text") -> DataFrame
 
 def normalised_triples(triples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Valid triples with normalised ends; the raw ends stay beside them as raw_s and raw_o. `keys` name the set of
-    triples within which plurals are merged."""
+    triples within which plurals are merged.
+
+    The plurals are counted: up to 200 000 go to the tasks that hold the triples, which then are neither shuffled nor
+    sorted; more are joined in partitions of bounded size.
+    """
     s, o = F.col("s"), F.col("o")
     valid = triples.where(TX.is_valid_entity(s) & TX.is_valid_entity(o))
     named = valid.withColumns({"raw_s": s, "raw_o": o, "s": TX.graph_entity(s), "o": TX.graph_entity(o)})
     named = cut_lineage(named)  # names are needed three times, and making them is the costly part
-    return replace_ends(named, plural_map(entities_of(named, keys), keys), "entity", "singular", keys)
+    with shuffled_for(named.sparkSession, named.count()):
+        plurals = cut_lineage(plural_map(entities_of(named, keys), keys))
+        if plurals.count() <= BROADCAST_PLURALS:
+            return replace_ends(named, F.broadcast(plurals), "entity", "singular", keys)
+        return cut_lineage(replace_ends(named, plurals, "entity", "singular", keys))
 
 
 def entities_of(triples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

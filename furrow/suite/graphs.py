@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furrow.functions import text as TX
 from furrow.operators import graph as G
 from furrow.operators import topk as K
-from furrow.session import cut_lineage
+from furrow.session import cut_lineage, shuffled_for
 from furrow.suite import query
 from furrow.suite.views import view, with_views
 
@@ -77,6 +77,11 @@ def line_threes(spark, sf):
     return lines.select(F.explode(threes).alias("w")).select(*[F.get("w", F.lit(i)).alias(n) for i, n in enumerate("svo")])
 
 
+def about_threes(spark, sf):
+    """About how many threes the documents hold, at six characters a word."""
+    return (view(spark, sf, "documents").agg(F.sum(F.length("text"))).first()[0] or 0) // 18
+
+
 def line_triples(spark, sf):
     return line_threes(spark, sf).groupBy("s", "v", "o").agg(F.count(F.lit(1)).alias("n"))
 
@@ -86,12 +91,15 @@ def _(spark, sf):
     raw = line_threes(spark, sf)
     valid = raw.where(TX.is_valid_entity(F.col("s")) & TX.is_valid_entity(F.col("o")))
     # Names are made once for each different word, not for each triple, and are needed twice.
-    return G.plural_map(cut_lineage(G.entities_of(valid).select(TX.graph_entity(F.col("entity")).alias("entity")).distinct()))
+    with shuffled_for(spark, about_threes(spark, sf)):
+        named = cut_lineage(G.entities_of(valid).select(TX.graph_entity(F.col("entity")).alias("entity")).distinct())
+    return G.plural_map(named)
 
 
 @query("normalised_triples__gr5_jn14", NORMAL + " SELECT s, v, o, raw_s, raw_o, n FROM fin")
 def _(spark, sf):
-    return G.normalised_triples(line_triples(spark, sf)).select("s", "v", "o", "raw_s", "raw_o", "n")
+    with shuffled_for(spark, about_threes(spark, sf)):
+        return G.normalised_triples(line_triples(spark, sf)).select("s", "v", "o", "raw_s", "raw_o", "n")
 
 
 WEIGHT = f"CASE WHEN {LOW} THEN 0.05 WHEN v = 'was reduced by' THEN 1.0 WHEN v = 'prices rise' THEN 0.8 ELSE 1.0 END"
