@@ -1,11 +1,13 @@
 """Files, tables and streams on temporary folders."""
 
+import hashlib
 import json
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from furrow import schemas
 from furrow.plans import ingestion as I
 from furrow.sources import catalog as C
@@ -50,6 +52,17 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     assert rows[0]["title"] == 'say "hi"\nthere' and rows[0]["publish_date"].hour == 5 and rows[1]["publish_date"] is None
 
 
+def test_csv_round_trip_tells_empty_texts_from_nulls(spark, tmp_path):
+    texts = ["", None, " ", "a\r\nb", '"', 'say "hi"\n', "\\", '\\"', " lead", "trail \n", "null", ",", "a\0\nb", '\0"', "\ufeffa", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").withColumn("source", F.lit("web")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id BIGINT, quality INT").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0,)], "vec_id BIGINT").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = entry.queries()["news_csv_round_trip__src1"](spark, str(tmp_path)).collect()
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert {r["id"]: r["digest"] for r in rows} == {digest(str(i)): None if t is None else digest(t) for i, t in enumerate(texts)}
+    assert len(rows) == len(texts) and all(r["day"].startswith("2024-01-01") for r in rows)
+
+
 def test_report_files_listing_and_latest(spark, tmp_path):
     for name in ("corn_report_2024-01-02.txt", "corn_report_2024-02-01.txt", "wheat_report_2023-12-31.txt", "note.txt"):
         land(tmp_path / "r", name, f"text of\n{name}")
