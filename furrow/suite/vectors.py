@@ -59,7 +59,7 @@ def _(spark, sf):
 
 @query("similar_pairs__jn13", PAIRS + " SELECT id_a, id_b, round(sim, 6) AS similarity FROM pairs")
 def _(spark, sf):
-    out = S.similar_pairs(view(spark, sf, "embeddings"), THRESHOLD, "vec_id", shard_rows=256)
+    out = S.similar_pairs(view(spark, sf, "embeddings"), THRESHOLD, "vec_id", shard_rows=256, copies=True)
     return out.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
