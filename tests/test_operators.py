@@ -353,6 +353,15 @@ def test_pagerank_with_dangling_isolated_and_hub(spark, hub_edges):
     assert abs(sum(got.values()) - 1) < 1e-9 and all(abs(got[i] - expected[i]) < 1e-5 for i in range(9))
 
 
+def test_pagerank_settles_in_few_rounds(spark):
+    """Two dense halves with weak links between them and a dangling node: plain rounds take 72 to move by less than 1e-8."""
+    rng = random.Random(5)
+    edges = [(a, b, 1.0 if a // 20 == b // 20 else 0.001) for a in range(40) for b in rng.sample(range(40), 8) if a != b] + [(0, 40, 0.1)]
+    df = spark.createDataFrame(edges, "src INT, dst INT, weight DOUBLE")
+    got = {r["id"]: r["rank"] for r in G.pagerank(df, tol=1e-8, max_rounds=40, rounds_per_check=8).collect()}
+    assert all(abs(got[i] - x) < 1e-8 for i, x in enumerate(plain_pagerank(41, edges)))
+
+
 def test_pagerank_of_several_graphs(spark):
     edges = [("a", 0, 1, 1.0), ("a", 1, 0, 1.0), ("a", 0, 2, 1.0), ("a", 2, 2, 1.0), ("b", 0, 1, 1.0), ("b", 1, 2, 1.0)]
     got = G.pagerank(spark.createDataFrame(edges, "g STRING, src INT, dst INT, weight DOUBLE"), keys=["g"], tol=1e-7, rounds_per_check=8).collect()

@@ -1,15 +1,18 @@
 """Similar short texts, leader clusters in free order and evidence of the agent log."""
 
+import itertools
 import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import reports as R
 from furrow.operators import graph as G
 from furrow.operators import similarity as SIM
+from furrow.plans import keywords as KW
 
 
 def _gram_cosine(a, b, n=3):
@@ -63,3 +66,40 @@ def test_evidence_rows_of_odd_results(spark):
     assert sorted(map(tuple, got)) == [
         (1, 1, 0, f"[a] {'x' * 200}...", "negative", 0.1, 0.4, 0.5), (1, 1, 1, "[제목없음] ...", "neutral", 0.1, 0.1, 0.5),
         (8, 2, 0, "[d] ...", "positive", 2.0, 0.1, 0.5)]
+
+
+@pytest.mark.parametrize("depth, longest, hot", [(2, 2, 3), (3, 12, 4096), (3, 3, 5)])
+def test_sparse_pairs_equal_all_pairs(spark, depth, longest, hot):
+    rng = np.random.default_rng(depth)
+    bags = [(k, i, sorted(rng.choice(9, rng.integers(1, 6), replace=False).tolist())) for k in "ab" for i in range(60)]
+    rows = [(k, f"{k}{i}", terms, [float(rng.integers(1, 4)) for _ in terms]) for k, i, terms in bags]
+    df = spark.createDataFrame(rows, "key STRING, id STRING, terms ARRAY<BIGINT>, weights ARRAY<DOUBLE>").withColumn(
+        "size", F.expr("aggregate(weights, 0D, (t, x) -> t + x * x)")).repartition(3)
+    want = set()
+    for (k, a, s, v), (j, b, t, w) in itertools.combinations(rows, 2):
+        x, y = dict(zip(s, v)), dict(zip(t, w))
+        dot = sum(n * y.get(i, 0) for i, n in x.items())
+        if k == j and round(dot / math.sqrt(sum(n * n for n in v) * sum(n * n for n in w)), 9) >= 0.68:
+            want.add((k, *sorted((a, b))))
+    got = [(r.key, *sorted((r.id_a, r.id_b))) for r in SIM.sparse_pairs(df, 0.68, depth, longest, hot=hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    links = [(r.id_a, r.id_b) for r in SIM.sparse_pairs(df, 0.68, depth, longest, forest=True, hot=hot).collect()]
+
+    def groups(pairs):
+        of = {r[1]: r[1] for r in rows}
+        for a, b in [*pairs] * 60:
+            of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    assert groups(links) == groups([(a, b) for _, a, b in want]) and len(links) <= len(want)
+
+
+def test_triples_meet_in_their_words(spark):
+    number = lambda n: F.col("id") * n % 40
+    texts = spark.range(400).select(F.lit("c").alias("commodity"), F.col("id").cast("string").alias("id"),
+                                    F.format_string("['a%d', 'b%d c', 'd%d']", number(7), number(11), number(F.col("id"))).alias("triple_text"))
+    found = KW._similar_triples(texts, None, 0.68)
+    assert "_bucket" in found._jdf.queryExecution().optimizedPlan().toString()  # not every shard with every shard
+    links = SIM.similar_links(KW.default_encoder(texts, "triple_text"), 0.68, "id")
+    got, want = ({r.id: r.component for r in G.connected_components(e, texts).collect()} for e in (found, links))
+    assert got == want and 1 < len(set(got.values())) < 400
